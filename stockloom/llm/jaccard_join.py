@@ -7,7 +7,7 @@ shingles; it is replicated to as many as the threshold requires, so two linked d
 rare words come first (word frequencies are counted over the whole corpus into a table of fixed size), so regions
 around common passages stay out of the way. Regions with the same members are one. Within a region, triangle-inequality
 windows apply around two kinds of further pivots: sizes (the distance to the empty set) must lie within the threshold of each
-other, which deals a region into overlapping bands; and the counts of a set's shingles over CELLS cells of the
+other, which deals a region into overlapping bands; and the counts of a set's shingles over cells of the
 shingle space differ by no more than the sets themselves.
 
 Recursion: first each band's documents are compared with the band's pivot document; those within the threshold form its
@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from stockloom.llm._shared import components, staged, table
 
 BUCKETS = 1 << 16  # of the word frequency table
-CELLS = 64
+#: Cells of a set's counts, by its size: few for small sets, more above each bound.
+CELLS = ((512, 64), (4096, 256), (1 << 62, 1024))
 BLOCK = 1 << 20
 #: Groups of more rows than this are passed on as they come, without the search for equal regions.
 STREAM = 50_000
@@ -143,7 +143,8 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sizes.append(n)
                 with np.errstate(over="ignore"):
                     nodes.append(int((_mixed(h + np.uint64(n)).sum() ^ np.uint64(n)).view(np.int64)))
-                cells.append(np.minimum(255, np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CELLS)).astype(np.uint8).tobytes())
+                count = next(c for bound, c in CELLS if n < bound)
+                cells.append(np.minimum(255, np.bincount((h >> np.uint64(65 - count.bit_length())).astype(np.int64), minlength=count)).astype(np.uint8).tobytes())
                 most = n - -(-percent * n // 100) + 1
                 keys.append(h[np.lexsort((h, score[at]))[:most]].view(np.int64))
             columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
@@ -190,10 +191,78 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named(key, node)
 
 
-def _apart(cells: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """True where the windows exclude a link of sets with these cell counts and sizes."""
-    differ = np.abs(cells.astype(np.int16) - other.astype(np.int16)).sum(-1)
-    return differ > n + m - 2 * _needed(n, m, percent)
+def _most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Largest symmetric difference of linked sets of sizes n and m."""
+    return n + m - 2 * _needed(n, m, percent)
+
+
+def _coarse(cells: list[bytes], count: int) -> np.ndarray:
+    """Counts of equally long rows, over `count` cells."""
+    x = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), count, -1)
+    return x.sum(-1, dtype=np.int16)
+
+
+def _near(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """False where the windows exclude a link of the sets with these cell counts and sizes; counts of different
+    resolution are compared at the coarser one."""
+    out = np.zeros(len(x), bool)
+    most = _most_apart(n, m, percent)
+    shape = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(shape, axis=0):
+        at = np.flatnonzero((shape[:, 0] == la) & (shape[:, 1] == lb))
+        for i in range(0, len(at), 20000):
+            some = at[i : i + 20000]
+            count = min(la, lb)
+            differ = np.abs(_coarse([x[j] for j in some], count) - _coarse([y[j] for j in some], count)).sum(-1, dtype=np.int64)
+            out[some] = differ <= most[some]
+    return out
+
+
+def _across(rows: dict[str, np.ndarray], cells: list[bytes], percent: int) -> np.ndarray:
+    """Pairs (a, b) of nodes in one group but different components that no window excludes. rows: group, node, n,
+    component and visitor (from the next band: two visitors meet in their own band), sorted by group. A group's
+    largest component is compared with, not within."""
+    group, node, n, part, visitor = (rows[c] for c in ("group", "node", "n", "component", "visitor"))
+    least = CELLS[0][1]
+    low = np.empty((len(cells), least), np.int16)
+    sizes = np.array([len(c) for c in cells])
+    for count in np.unique(sizes):
+        at = np.flatnonzero(sizes == count)
+        low[at] = _coarse([cells[i] for i in at], least)
+    found: list[np.ndarray] = []
+
+    def sift(i: np.ndarray, j: np.ndarray) -> None:
+        good = (part[i] != part[j]) & ~(visitor[i] & visitor[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[good], j[good]
+        most = _most_apart(n[i], n[j], percent)
+        for at in range(0, len(i), 100_000):
+            k = slice(at, at + 100_000)
+            good = np.flatnonzero(np.abs(low[i[k]] - low[j[k]]).sum(-1, dtype=np.int64) <= most[k])
+            if len(good):
+                found.append(np.column_stack([i[k][good], j[k][good]]))
+
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(begin, len(group)))
+    for g in np.unique(size[(size > 1) & (size <= 64)]):
+        starts = begin[size == g]
+        i, j = np.triu_indices(g, 1)
+        for at in range(0, len(starts), max(1, 400_000 // len(i))):
+            some = starts[at : at + max(1, 400_000 // len(i)), None]
+            sift((some + i).ravel(), (some + j).ravel())
+    for a, g in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        names, counts = np.unique(part[a : a + g], return_counts=True)
+        largest = names[counts.argmax()]
+        all_rows = np.arange(a, a + g)
+        for i in np.flatnonzero(part[a : a + g] != largest) + a:
+            sift(np.full(g, i), all_rows)
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    pairs = np.concatenate(found)
+    named = np.sort(node[pairs], axis=1)
+    named, at = np.unique(named, axis=0, return_index=True)
+    pairs = pairs[at]
+    good = _near([cells[i] for i in pairs[:, 0]], [cells[j] for j in pairs[:, 1]], n[pairs[:, 0]], n[pairs[:, 1]], percent)
+    return named[good]
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -246,34 +315,42 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 5))
                 n, m = (batch.column(i).to_numpy() for i in (1, 4))
-                yield batch.select([0, 3]).filter(pa.array(~_apart(x, y, n, m, percent)))
+                good = _near(batch.column(2).to_pylist(), batch.column(5).to_pylist(), n, m, percent)
+                yield batch.select([0, 3]).filter(pa.array(good))
 
     star = _verified(docs, nodes, starred.mapInArrow(near, "a long, b long"), words, percent)
     joined = components(star)
     joined = staged(joined, "stars")
     open_rows = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     undone = open_rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region", "band")
-    open_rows = open_rows.join(undone, ["region", "band"]).select("region", "band", "node", "n", "cells", "component")
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components that no window excludes; the largest component is compared with, not within."""
-        x = np.frombuffer(b"".join(group["cells"]), np.uint8).reshape(-1, CELLS)
-        n, node, part = (group[c].to_numpy(np.int64) for c in ("n", "node", "component"))
-        names, sizes = np.unique(part, return_counts=True)
-        small = np.flatnonzero(part != names[sizes.argmax()])
-        out_a, out_b = [], []
-        for i in small.tolist():
-            fits = (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            j = np.flatnonzero(fits)
-            j = j[~_apart(x[j], x[i], n[j], np.int64(n[i]), percent)]
-            out_a.append(np.full(len(j), node[i]))
-            out_b.append(node[j])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
-
-    rest = open_rows.groupBy("region", "band").applyInPandas(across, "a long, b long")
+    open_rows = open_rows.join(undone, ["region", "band"]).select("region", "band", "node", "n", "component", (F.col("home") != F.col("band")).alias("visitor"), "cells")
+    open_rows = open_rows.repartition("region", "band").sortWithinPartitions("region", "band")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        names = ["region", "band", "node", "n", "component", "visitor", "cells"]
+
+        def settled(t: pa.Table) -> pa.RecordBatch:
+            c = {k: t.column(k).to_numpy() for k in names[:-1]}
+            change = np.concatenate([[True], (c["region"][1:] != c["region"][:-1]) | (c["band"][1:] != c["band"][:-1])]) if len(t) else np.zeros(0, bool)
+            c["group"] = np.cumsum(change)
+            pairs = _across(c, t.column("cells").to_pylist(), percent)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 30_000:
+                t = pa.Table.from_batches(held)
+                region, band = (t.column(k).to_numpy() for k in names[:2])
+                cut = int(np.flatnonzero((region != region[-1]) | (band != band[-1]))[-1]) + 1 if (region[0], band[0]) != (region[-1], band[-1]) else 0
+                if cut:  # whole groups only
+                    yield settled(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+        if held:
+            yield settled(pa.Table.from_batches(held))
+
+    rest = open_rows.mapInArrow(across, "a long, b long")
     links = star.unionByName(_verified(docs, nodes, rest, words, percent))
     # names of components by their smallest document
     named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
