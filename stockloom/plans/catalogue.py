@@ -35,7 +35,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _state() -> Column:
-    return stock.tri_state(F.decode(F.col("o_orderstatus"), F.lit("O"), F.lit("1"), F.lit("F"), F.lit("0"), F.lit("?")) if False else F.when(F.col("o_orderstatus") == "O", "in_stock").when(F.col("o_orderstatus") == "F", "0").otherwise("?"))
+    return stock.tri_state(F.when(F.col("o_orderstatus") == "O", "in_stock").when(F.col("o_orderstatus") == "F", "0").otherwise("?"))
 
 
 STATE = "case o_orderstatus when 'O' then 1 when 'F' then 0 else -1 end"
@@ -192,9 +192,9 @@ def link_extract(spark, d):
     return p.select("page_id", urls.resolved(F.col("url"), F.col("h")).alias("link"))
 
 
-@query("select o_orderkey, '$' || cast(cast(o_totalprice as bigint) as varchar) || ' USD' as prices from orders")
+@query("select o_orderkey, '$' || cast(cast(floor(o_totalprice) as bigint) as varchar) || ' USD' as prices from orders")
 def price_extract(spark, d):
-    p = F.concat(F.lit("$"), F.round("o_totalprice").cast("bigint").cast("string"), F.lit(" USD"))
+    p = F.concat(F.lit("$"), F.floor("o_totalprice").cast("bigint").cast("string"), F.lit(" USD"))
     noisy = F.concat(F.lit("from "), p, F.lit(" or "), p, F.lit(", save 5 $ now"))
     return _t(spark, d, "orders").select("o_orderkey", F.array_join(text.prices(noisy), "|").alias("prices"))
 
@@ -221,8 +221,8 @@ SCANS = "(select s_suppkey site, p_partkey id, h.l_suppkey is not null hit from
 
 
 @query(f"""with a as (select site, id, max(case when hit then id end) over (partition by site order by id rows between unbounded preceding and 1 preceding) b, max(case when hit then id end) over (partition by site order by id) u from {SCANS}),
-c as (select site, min(id) filter (id > greatest(60, coalesce(least(400, b + 60), 60))) v, min(id) filter (id - coalesce(u, 0) >= 40 and id >= 20) s from a group by site)
-select site, least(400, coalesce(v - 1, 400), coalesce(s, 400)) as last_id, case when s = least(400, coalesce(v - 1, 400), coalesce(s, 400)) then 'streak' when v - 1 = least(400, coalesce(v - 1, 400), coalesce(s, 400)) then 'reach' else 'hard-cap' end as reason from c""")
+c as (select site, max(id) m, min(id) filter (id > greatest(60, coalesce(least(400, b + 60), 60))) v, min(id) filter (id - coalesce(u, 0) >= 40 and id >= 20) s from a group by site)
+select site, least(m, 400, coalesce(v - 1, 400), coalesce(s, 400)) as last_id, case when s = least(400, coalesce(v - 1, 400), coalesce(s, 400)) then 'streak' when v - 1 = least(400, coalesce(v - 1, 400), coalesce(s, 400)) then 'reach' else 'hard-cap' end as reason from c""")
 def scan_stop(spark, d):
     df = scan.processed(_scans(spark, d), start=F.lit(1), hard=F.lit(400), floor=20, tail=60, streak=40)
     return df.where("processed").groupBy("site").agg(F.max("id").alias("last_id"), F.max("reason").alias("reason"))
