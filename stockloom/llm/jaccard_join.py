@@ -10,8 +10,8 @@ windows apply around two kinds of further pivots: sizes (the distance to the emp
 other, which deals a region into overlapping bands; and the counts of a set's shingles over cells of the
 shingle space differ by no more than the sets themselves.
 
-Recursion: first each band's documents are compared with the band's pivot document; those within the threshold form its
-ball and are one component. Then only pairs across components that no window excludes are compared, so a group
+Recursion: first each band's documents are compared with the band's PIVOTS pivot documents; those within the threshold form
+balls, and balls that share a document are one component. Then only pairs across components that no window excludes are compared, so a group
 of near copies costs a star, not all its pairs. Every comparison is exact on whole sets.
 
 Defined cases: null or wordless texts have an empty set (n_shingles 0) and are linked with nothing: component_id is their own doc_id;
@@ -36,6 +36,8 @@ CELLS = ((512, 64), (4096, 256), (1 << 62, 1024))
 BLOCK = 1 << 20
 #: Groups of more rows than this are passed on as they come, without the search for equal regions.
 STREAM = 50_000
+#: Pivot documents of a band.
+PIVOTS = 8
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -218,10 +220,10 @@ def _near(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent:
     return out
 
 
-def _across(rows: dict[str, np.ndarray], cells: list[bytes], percent: int) -> np.ndarray:
+def _across(rows: dict[str, np.ndarray], cells: list[bytes], percent: int, pivots: int = 0) -> np.ndarray:
     """Pairs (a, b) of nodes in one group but different components that no window excludes. rows: group, node, n,
-    component and visitor (from the next band: two visitors meet in their own band), sorted by group. A group's
-    largest component is compared with, not within."""
+    component and visitor (from the next band: two visitors meet in their own band), sorted by group. With pivots, only pairs
+    with one of a group's pivots; else all, but a group's largest component is compared with, not within."""
     group, node, n, part, visitor = (rows[c] for c in ("group", "node", "n", "component", "visitor"))
     least = CELLS[0][1]
     low = np.empty((len(cells), least), np.int16)
@@ -243,13 +245,19 @@ def _across(rows: dict[str, np.ndarray], cells: list[bytes], percent: int) -> np
 
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(begin, len(group)))
-    for g in np.unique(size[(size > 1) & (size <= 64)]):
+    for j in range(pivots):
+        with np.errstate(over="ignore"):
+            h = _mixed(node.view(np.uint64) + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15))
+        pivot = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, begin), size))
+        pivot = pivot[np.unique(group[pivot], return_index=True)[1]]
+        sift(np.arange(len(group)), np.repeat(pivot, size))
+    for g in np.unique(size[(size > 1) & (size <= 64)]) if not pivots else ():
         starts = begin[size == g]
         i, j = np.triu_indices(g, 1)
         for at in range(0, len(starts), max(1, 400_000 // len(i))):
             some = starts[at : at + max(1, 400_000 // len(i)), None]
             sift((some + i).ravel(), (some + j).ravel())
-    for a, g in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+    for a, g in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True) if not pivots else ():
         names, counts = np.unique(part[a : a + g], return_counts=True)
         largest = names[counts.argmax()]
         all_rows = np.arange(a, a + g)
@@ -307,27 +315,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # linked sizes differ by one band at most: each band takes the next one's documents too
     members = members.withColumn("home", band).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1)))
     members = staged(members, "members")
-    sizes = members.groupBy("region", "band").agg(F.min(F.struct("node", "n", "cells")).alias("p"), F.count("*").alias("size"))
-    sizes = sizes.where("size > 1")
-    starred = members.join(sizes, ["region", "band"]).where(F.col("node") != F.col("p.node"))
-    starred = starred.select(F.col("node").alias("a"), "n", "cells", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.cells").alias("others")).dropDuplicates(["a", "b"])
+    columns = ["region", "band", "node", "n", "component", F.expr("home != band").alias("visitor"), "cells"]
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(i).to_numpy() for i in (1, 4))
-                good = _near(batch.column(2).to_pylist(), batch.column(5).to_pylist(), n, m, percent)
-                yield batch.select([0, 3]).filter(pa.array(good))
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.select(*columns).repartition("region", "band").sortWithinPartitions("region", "band")
 
-    star = _verified(docs, nodes, starred.mapInArrow(near, "a long, b long"), words, percent)
-    joined = components(star)
-    joined = staged(joined, "stars")
-    open_rows = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    undone = open_rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region", "band")
-    open_rows = open_rows.join(undone, ["region", "band"]).select("region", "band", "node", "n", "component", (F.col("home") != F.col("band")).alias("visitor"), "cells")
-    open_rows = open_rows.repartition("region", "band").sortWithinPartitions("region", "band")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def across(batches: Iterator[pa.RecordBatch], pivots: int = 0) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         names = ["region", "band", "node", "n", "component", "visitor", "cells"]
 
@@ -335,7 +328,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             c = {k: t.column(k).to_numpy() for k in names[:-1]}
             change = np.concatenate([[True], (c["region"][1:] != c["region"][:-1]) | (c["band"][1:] != c["band"][:-1])]) if len(t) else np.zeros(0, bool)
             c["group"] = np.cumsum(change)
-            pairs = _across(c, t.column("cells").to_pylist(), percent)
+            pairs = _across(c, t.column("cells").to_pylist(), percent, pivots)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], names=["a", "b"])
 
         for batch in batches:
@@ -350,7 +343,14 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         if held:
             yield settled(pa.Table.from_batches(held))
 
-    rest = open_rows.mapInArrow(across, "a long, b long")
+    starred = grouped(members.withColumn("component", F.col("node"))).mapInArrow(lambda batches: across(batches, PIVOTS), "a long, b long")
+    star = _verified(docs, nodes, starred, words, percent)
+    joined = components(star)
+    joined = staged(joined, "stars")
+    open_rows = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    undone = open_rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region", "band")
+    open_rows = open_rows.join(undone, ["region", "band"])
+    rest = grouped(open_rows).mapInArrow(lambda batches: across(batches), "a long, b long")
     links = star.unionByName(_verified(docs, nodes, rest, words, percent))
     # names of components by their smallest document
     named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
