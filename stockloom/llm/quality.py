@@ -75,9 +75,9 @@ def counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
 
 
 def _statistics() -> list[Column]:
-    ratio = lambda c, scale, of: F.lit(float(scale)) * F.col(c) / F.col(of)
+    ratio = lambda c, scale, of: F.try_divide(F.lit(float(scale)) * F.col(c), F.col(of))
     return [
-        F.round(1000 * F.log(F.col("word_chars") / F.col("n_words"))).cast("long").alias("x1"),
+        F.round(1000 * F.log(F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double")))).cast("long").alias("x1"),
         F.round(1000 * F.log(1 + ratio("n_symbols", 1000, "word_chars"))).cast("long").alias("x2"),
         F.round(1000 * F.log(1 + ratio("n_dup_lines", 1000, "n_words"))).cast("long").alias("x3"),
         F.round(ratio("n_repeat_words", 1000, "n_words")).cast("long").alias("x4"),
