@@ -139,7 +139,8 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, step
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = staged(df.withColumn("base_failed", base), "quality")
     sound = df.where("NOT base_failed").select("_lang", "_source", *DIMS)
-    middle = sound.groupBy("_lang", "_source").agg(*[F.median(x).alias(f"m_{x}") for x in DIMS])
+    # staged, so that its size is known: the rows of a large group are then joined where they are, without a shuffle
+    middle = staged(sound.groupBy("_lang", "_source").agg(*[F.median(x).alias(f"m_{x}") for x in DIMS]), "quality-middle")
     off = sound.join(middle, ["_lang", "_source"])
     spread = off.groupBy("_lang", "_source").agg(
         *[F.first(f"m_{x}").alias(f"m_{x}") for x in DIMS],
