@@ -8,9 +8,12 @@ The h-subset is cut on a fine logarithmic grid of distances, so one pass that su
 (lang, source, grid cell) is a whole step: it is combined before the shuffle, has a bounded number of rows
 for a group of any size, and, as the statistics are integers, gives the same sums in any order.
 
+A group with fewer than `least_group` documents that pass the base rules is too small for an estimate of its
+own: it is judged by the estimate over all documents of its language, or, where these are too few as well, by
+that over all documents, however many there are. No group goes without a verdict.
+
 Defined cases: null text counts as no text (no words, base_failed); null lang or source is a group of its
-own; groups with fewer than `least_group` documents that pass the base rules get no verdict beyond them;
-repeated rows are repeated in the result; an empty table gives an empty result; other columns are ignored.
+own; repeated rows are repeated in the result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from stockloom.llm._shared import staged, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Production parameters: share of rows in the subset, its consistency factor for four dimensions, steps,
-#: the squared distance from which a document is an outlier, and the least standard deviations (in thousandths).
+#: the squared distance from which a document is an outlier, the least rows for an estimate of a group's own, and
+#: the least standard deviations (in thousandths).
 SUBSET = 0.75
 CONSISTENCY = 1.485
 STEPS = 5
@@ -103,9 +107,9 @@ def _estimate(cells: DataFrame, subset: float) -> DataFrame:
     )
     names = [c for c in cells.columns if c.startswith("s_")]
     df = inner.groupBy("_lang", "_source").agg(
-        F.sum("n").cast("double").alias("n"), F.first("all").alias("size"), *[F.sum(c).cast("double").alias(c) for c in names]
+        F.sum("n").cast("double").alias("n"), *[F.sum(c).cast("double").alias(c) for c in names]
     )
-    df = df.select("_lang", "_source", "size", "n", *names, *[(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in DIMS])
+    df = df.select("_lang", "_source", "n", *names, *[(F.col(f"s_{x}") / F.col("n")).alias(f"m_{x}") for x in DIMS])
     cov = {}
     for i, x in enumerate(DIMS):
         for j in range(i, len(DIMS)):
@@ -118,7 +122,7 @@ def _estimate(cells: DataFrame, subset: float) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(c) if i == j else c / F.col(f"l{j}{j}"))
-    return df.select("_lang", "_source", "size", *[f"m_{x}" for x in DIMS], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+    return df.select("_lang", "_source", *[f"m_{x}" for x in DIMS], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -131,14 +135,31 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, 4)), F.col("z0") * F.col("z0")))
 
 
+def _levels(sound: DataFrame, least_group: int) -> DataFrame:
+    """By (_lang, _source): `by`, the key of the estimate that judges the group, and `enters`, the keys of those its rows are part of.
+
+    A key is the group itself, (_lang, "*") or ("*", "*"); wider ones are made only where a small group needs them."""
+    groups = staged(sound.groupBy("_lang", "_source").agg(F.count("*").alias("n")), "quality-groups")
+    own = F.col("n") >= least_group
+    langs = groups.groupBy("_lang").agg((F.sum("n") >= least_group).alias("enough"), F.max(~own).alias("wanted"))
+    top = langs.agg(F.max(F.col("wanted") & ~F.col("enough")).alias("all_wanted"))
+    key = lambda a, b: F.struct(a.alias("_lang"), b.alias("_source"))
+    group, lang, every = key(F.col("_lang"), F.col("_source")), key(F.col("_lang"), F.lit("*")), key(F.lit("*"), F.lit("*"))
+    enters = F.array_compact(F.array(F.when(own, group), F.when(F.col("wanted") & F.col("enough"), lang), F.when(F.col("all_wanted"), every)))
+    df = groups.join(langs, "_lang").crossJoin(top)
+    return staged(df.select("_lang", "_source", F.when(own, group).when(F.col("enough"), lang).otherwise(every).alias("by"), enters.alias("enters")), "quality-levels")
+
+
 def judged(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, steps: int = STEPS, least_group: int = LEAST_GROUP) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance2 (null where no estimate applies) and kept."""
+    """doc_id, the base counts, base_failed, distance2 (null where base_failed) and kept."""
     group = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")).alias(f"_{c}") for c in ("lang", "source")]
     df = counts(docs)
     df = df.select("doc_id", *group, *COUNTS, *_statistics())
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = staged(df.withColumn("base_failed", base), "quality")
     sound = df.where("NOT base_failed").select("_lang", "_source", *DIMS)
+    levels = _levels(sound, least_group)
+    sound = staged(sound.join(levels, ["_lang", "_source"]).select(F.explode("enters").alias("k"), *DIMS).select("k.*", *DIMS), "quality-sound")
     # staged, so that its size is known: the rows of a large group are then joined where they are, without a shuffle
     middle = staged(sound.groupBy("_lang", "_source").agg(*[F.median(x).alias(f"m_{x}") for x in DIMS]), "quality-middle")
     off = sound.join(middle, ["_lang", "_source"])
@@ -151,10 +172,12 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, step
             spread = spread.withColumn(f"l{i}{j}", F.lit(0.0))
     estimate = staged(spread, "quality-start")
     for _ in range(steps):
-        near = _distance(sound.join(estimate.drop("size"), ["_lang", "_source"]))
+        near = _distance(sound.join(estimate, ["_lang", "_source"]))
         estimate = staged(_estimate(_cells(near, F.col("d2")), subset), "quality-step")
-    out = _distance(df.join(estimate, ["_lang", "_source"], "left"))
-    out = out.withColumn("distance2", F.when((F.col("size") >= least_group) & ~F.col("base_failed"), F.col("d2")))
+    by = levels.select("_lang", "_source", *[F.col(f"by.{c}").alias(f"by{c}") for c in ("_lang", "_source")])
+    judges = estimate.withColumnsRenamed({"_lang": "by_lang", "_source": "by_source"})
+    out = _distance(df.join(by, ["_lang", "_source"], "left").join(judges, ["by_lang", "by_source"], "left"))
+    out = out.withColumn("distance2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
     return out.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "distance2")
 

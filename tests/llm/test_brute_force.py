@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import bpe, html_text, jaccard_join, neighbours, packing, pii, quality, secret_scan, suffix_dedup, toxicity
 
@@ -158,6 +159,30 @@ def test_quality_counts(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_quality_of_small_groups(spark):
+    """Groups below least_group are judged by their language, and languages below it by all documents."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        lang = "en" if i < 110 else f"l{i % 3}"
+        w = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(60, 200))]
+        if i % 11 == 0 or i == 118:
+            w = [x + "#$%&" for x in w]
+        rows.append((i, " ".join(w), lang, "big" if i < 40 else f"s{i % 9}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    assert all(r["distance2"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {i for i in got if i % 11 == 0 or i == 118}
+
+    def alone(df):
+        """Distances with all rows of df as one group."""
+        one = df.withColumn("lang", F.lit("x")).withColumn("source", F.lit("x"))
+        return {r["doc_id"]: r["distance2"] for r in quality.judged(one).collect()}
+
+    expected = alone(docs.where("lang = 'en'")) | {i: d for i, d in alone(docs).items() if i >= 110}
+    assert all(got[i]["distance2"] == pytest.approx(expected[i], rel=1e-9) for i in range(40, 120))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
