@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import stock, text, urls
 from stockloom.operators import catalog, crawl, merge, messages, registry, scan, snapshot
+from stockloom.plans import catalogue
 from stockloom.sources import feeds, html_pages
 
 
@@ -97,6 +98,18 @@ def test_scan(spark):
         assert sorted(r["id"] for r in out.collect()) == loop_scan(hits, 0, hard, floor, tail, limit, learned)
 
 
+def test_whole_scans(spark):
+    d = "/root/testdata/sf0.001"
+    read = lambda name, *c: [tuple(r) for r in spark.read.parquet(f"{d}/{name}.parquet").select(*c).distinct().collect()]
+    hits, parts = read("lineitem", "l_suppkey", "l_partkey"), [p for (p,) in read("part", "p_partkey")]
+    of = {s: {p for x, p in hits if x == s} for s, _ in hits}
+    got = {r["site"]: (r["high"], r["resume"]) for r in catalogue.QUERIES["highwater_whole"](spark, d).collect()}
+    assert got == {s: (max(p), max(0, max(p) - 60)) for s, p in of.items()}
+    stops = {r["site"]: r["last_id"] for r in catalogue.QUERIES["scan_stop_whole"](spark, d).collect()}
+    known = set(parts)
+    assert stops == {s: max(i for i in loop_scan(of.get(s, set()) & known, 1, max(parts), 20, 60, 40, 0) if i in known) for (s,) in read("supplier", "s_suppkey")}
+
+
 def test_snapshot(spark):
     now = spark.createDataFrame([("a", 1), ("b", 0), ("c", -1), ("d", 1)], "k string, in_stock int")
     old = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "k string, in_stock int")
