@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import text
 
+#: Opens each message after a break.
+CONTINUED = "_\\(cont\\.\\)_"
+
 
 def sectioned(changed: DataFrame, order: list[Column]) -> DataFrame:
     section = F.when(F.col("restocked"), "restocked").when(F.col("destocked"), "destocked").otherwise("changed")
@@ -35,23 +38,57 @@ def limits(most: int) -> tuple[int, int]:
     return message, max(60, message - 120)
 
 
-def chunked(blocks: DataFrame, limit: int = 4096, group: str = "section") -> DataFrame:
-    """(section, part, message): blocks (section, place, block) filled greedily, in order, into messages of bounded length. The fold
-    depends on the order, so it runs section by section; long sections are dealt over spans of SPAN places."""
-    message, block_limit = limits(limit)
+def product_blocks(name: Column, url: Column, price: Column, state: Column, limit: int = 4096) -> Column:
+    """array of (block, force): the product's block or, if that is too long, one without the link and the whole URL, forced into a new message."""
+    full = product_block(name, url, price, state)
+    short = F.concat_ws("\n", text.markdown_escaped(name), F.nullif(text.markdown_escaped(F.coalesce(price, F.lit(""))), F.lit("")), state)
+    item = lambda block, force: F.struct(block.alias("block"), F.lit(force).alias("force"))
+    too_long = (F.length(full) > limits(limit)[1]) & (F.coalesce(url, F.lit("")) != "")
+    return F.when(too_long, F.array(item(short, False), item(text.markdown_escaped(url), True))).otherwise(F.array(item(full, False)))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], ""
-        for block in rows.sort_values("place")["block"]:
-            block = block[:block_limit]
-            joined = f"{held}\n\n{block}" if held else block
-            if len(joined) > message:
-                out.append(held)
-                joined = block
-            held = joined
+
+def filled(sections: list[tuple[str, list[tuple[str, bool]]]], header: str, most: int) -> list[str]:
+    """Messages of sections (title, blocks (text, forced into a new message)); a block is never cut, so one that is longer alone is a longer message."""
+    out: list[str] = []
+    held = [header] if header else []
+
+    def fits(new: list[str]) -> bool:
+        return len("\n\n".join(x for x in held + new if x)) <= most
+
+    def flush() -> None:
         if held:
-            out.append(held)
-        return pd.DataFrame({"section": rows[group].iloc[0], "span": rows["span"].iloc[0], "part": range(len(out)), "message": out})
+            out.append("\n\n".join(x for x in held if x))
+
+    for title, blocks in sections:
+        for i, (block, force) in enumerate(blocks):
+            new = [title, block] if i == 0 else [block]
+            if force and held:
+                flush()
+                held = [CONTINUED, title]
+            only_header = i == 0 and bool(header) and not out and held == [header]
+            if fits(new) or only_header:
+                held = held + new
+            else:
+                flush()
+                held = [CONTINUED, title, block]
+    flush()
+    return out
+
+
+def chunked(blocks: DataFrame, limit: int = 4096, group: str = "section", header: str = "", titles: dict[str, str] | None = None) -> DataFrame:
+    """(part, message): blocks (section, place, block and, if there is one, force) filled greedily, in order, into messages of bounded length.
+
+    One fold goes over all sections, those of titles first, so all blocks of an alert are one group."""
+    titles = titles or {}
+    most = limits(limit)[0]
 
-    spanned = blocks.withColumn("span", F.floor(F.col("place") / 5000).cast("int"))
-    return spanned.groupBy(group, "span").applyInPandas(fold, "section string, span int, part int, message string")
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        names = [*titles, *sorted(set(rows[group]) - set(titles))]
+        parts = {k: v.sort_values(["place", "i"]) for k, v in rows.groupby(group)}
+        out = filled([(titles.get(k, k), list(zip(parts[k]["block"], parts[k]["force"], strict=True))) for k in names if k in parts], header, most)
+        return pd.DataFrame({"part": range(len(out)), "message": out})
+
+    force = F.col("force") if "force" in blocks.columns else F.lit(False)
+    i = F.col("i") if "i" in blocks.columns else F.lit(0)
+    df = blocks.select(group, "place", i.alias("i"), "block", force.alias("force"))
+    return df.groupBy(F.lit(0).alias("alert")).applyInPandas(fold, "part int, message string")

@@ -312,4 +312,5 @@ def page_signals(spark, d):
 def message_chunks(spark, d):
     rows = messages.sectioned(_flags(spark, d).where("changed"), [F.col("o_custkey")])
     blocks = rows.select("section", "place", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"), F.lit(" now "), stock.badge(F.col("in_stock"))).alias("block"))
-    return messages.chunked(blocks, limit=1000)
+    titles = {"restocked": "*Restocked*", "destocked": "*Out of stock*", "changed": "*Changed*"}
+    return messages.chunked(blocks, limit=1000, header="*Stock changed*", titles=titles)

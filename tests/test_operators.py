@@ -135,6 +135,20 @@ def test_messages(spark):
     assert all(len(r["message"]) <= 236 for r in parts) and "".join(r["message"] for r in parts).count("b") == 29 * 50
 
 
+def test_messages_are_whole(spark):
+    rows = [("s", i, "b" * 50) for i in range(1, 6)] + [("t", 1, "c" * 500), ("t", 2, "d")]
+    got = [r["message"] for r in messages.chunked(spark.createDataFrame(rows, "section string, place int, block string"), 300, header="H", titles={"s": "S", "t": "T"}).orderBy("part").collect()]
+    mark, b = messages.CONTINUED, "b" * 50
+    assert got == ["\n\n".join(x) for x in (["H", "S", b, b, b, b], [mark, "S", b], [mark, "T", "c" * 500], [mark, "T", "d"])]
+    many = spark.range(1, 10101).select(F.lit("s").alias("section"), F.col("id").cast("int").alias("place"), F.lit("b").alias("block"))
+    out = messages.chunked(many, 300).orderBy("part").collect()
+    assert [r["part"] for r in out] == list(range(len(out))) and "".join(r["message"] for r in out).count("b") == 10100
+    assert len({len(r["message"]) for r in out[1:-1]}) == 1
+    one = spark.createDataFrame([("n", "https://x/" + "u" * 400, "5", "in")], "n string, u string, p string, s string")
+    parts = one.select(F.inline(messages.product_blocks(F.col("n"), F.col("u"), F.col("p"), F.col("s"), 300))).collect()
+    assert [r["force"] for r in parts] == [False, True] and parts[1]["block"].count("u") == 400 and messages.filled([("T", [tuple(r) for r in parts])], "H", 236)[1].startswith(mark)
+
+
 def test_registry(spark):
     sites = spark.createDataFrame([("a", "u1")], "name string, url string")
     changes = spark.createDataFrame([("add", "a", "x"), ("add", "b", "y"), ("edit", "c", "z"), ("edit", "a", "w")], "action string, name string, url string")
