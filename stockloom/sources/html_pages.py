@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,9 +18,13 @@ NO_SERVICES = ("no services yet", "no products found", "no services")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SIGNALS = (
     "base string, title string, heading string, alert string, product string, boxes string, body string, description string, js_errors boolean, disabled_button boolean, "
-    "proceed boolean, order_form boolean, options boolean, order_inputs boolean, hrefs array<string>, actions array<string>, cycle_text string, locations array<string>"
+    "proceed boolean, order_form boolean, options boolean, order_inputs boolean, hrefs array<string>, actions array<string>, adds array<string>, inline array<string>, crawl_inline array<string>, cycle_text string, locations array<string>"
 )
 
+#: Cart URLs in raw HTML and scripts, as the second platform's parser and as a crawl take them.
+INLINE = re.compile(r"""(https?://[^'"\s<>]+|/index\.php\?/cart/[^'"\s<>]+|/cart/[^'"\s<>]+)""", re.IGNORECASE)
+CRAWL_INLINE = re.compile(r"""(https?://[^'"\s<>]+|(?:/index\.php\?/cart/[^'"\s<>]+|/store/[^'"\s<>]+|/cart/[^'"\s<>]+|cart/[^'"\s<>]+|cart\.php\?[^'"\s<>]+))""", re.IGNORECASE)
+
 
 class _Reader(HTMLParser):
     """Collects texts by the kind of element that holds them."""
@@ -30,6 +35,8 @@ class _Reader(HTMLParser):
         self.text: dict[str, list[str]] = {k: [] for k in ("title", "heading", "alert", "product", "boxes", "body", "description", "cycle", "location", "script")}
         self.hrefs: list[str] = []
         self.actions: list[str] = []
+        self.adds: list[str] = []
+        self.hidden: dict[str, str] | None = None
         self.base = ""
         self.flags: set[str] = set()
 
@@ -64,10 +71,14 @@ class _Reader(HTMLParser):
         if tag == "a" and a.get("href"):
             self.hrefs.append(a["href"])
         if tag == "form":
+            self.end_form()
+            self.hidden = {}
             if a.get("action"):
                 self.actions.append(a["action"])
             if "cart.php" in a.get("action", "") or "orderfrm" in words or "order" in a.get("id", "").lower():
                 self.flags.add("form")
+        if tag == "input" and self.hidden is not None and a.get("type", "").lower() == "hidden" and "name" in a:
+            self.hidden[a["name"]] = a.get("value", "")
         if tag == "input" and (name.startswith(("subproducts[", "addon[")) or name == "make" and a.get("value") == "order"):
             self.flags.add("inputs")
         if tag in ("button", "input"):
@@ -79,7 +90,16 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self.stack.append((tag, frozenset(kinds)))
 
+    def end_form(self):
+        """A form with hidden action=add and a numeric id is an add link."""
+        hidden, self.hidden = self.hidden or {}, None
+        number = hidden.get("id", "").strip()
+        if hidden.get("action") == "add" and number.isdigit():
+            self.adds.append(f"/index.php?/cart/&action=add&id={number}")
+
     def handle_endtag(self, tag):
+        if tag == "form":
+            self.end_form()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
@@ -105,11 +125,13 @@ def read_page(html: str | None) -> dict:
     r = _Reader()
     r.feed(html or "")
     r.close()
+    r.end_form()
     t = {k: "\n".join(v) for k, v in r.text.items()}
     return {
         "base": r.base, "title": t["title"], "heading": next((h for h in r.text["heading"] if len(h) <= 140), ""), "alert": t["alert"], "product": t["product"], "boxes": t["boxes"], "body": t["body"],
         "description": t["description"][:5000], "js_errors": "errors" in t["script"] and "stock" in t["script"].lower(), "disabled_button": "disabled" in r.flags, "proceed": "proceed" in r.flags,
-        "order_form": "form" in r.flags, "options": "options" in r.flags, "order_inputs": "inputs" in r.flags, "hrefs": list(dict.fromkeys(r.hrefs)), "actions": list(dict.fromkeys(r.actions)),
+        "order_form": "form" in r.flags, "options": "options" in r.flags, "order_inputs": "inputs" in r.flags, "hrefs": list(dict.fromkeys(r.hrefs)), "actions": list(dict.fromkeys(r.actions)), "adds": list(dict.fromkeys(r.adds)),
+        "inline": list(dict.fromkeys(INLINE.findall(html or ""))), "crawl_inline": list(dict.fromkeys(CRAWL_INLINE.findall(html or ""))),
         "cycle_text": t["cycle"], "locations": list(dict.fromkeys(r.text["location"])),
     }
 
@@ -123,10 +145,15 @@ def signals(html: Column) -> Column:
     return run(html)
 
 
-def links(base: Column, s: Column) -> Column:
-    """Absolute URLs of anchors and forms, distinct, in order; <base href> counts."""
+def links(base: Column, s: Column, *more: str) -> Column:
+    """Absolute URLs of anchors and forms and of the signals named in more, distinct, in order; <base href> counts."""
     root = F.when(s["base"] != "", urls.resolved(base, s["base"])).otherwise(base)
-    return F.array_distinct(F.transform(F.concat(s["hrefs"], s["actions"]), lambda h: urls.resolved(root, h)))
+    return F.array_distinct(F.transform(F.concat(*[s[c] for c in ("hrefs", "actions", *more)]), lambda h: urls.resolved(root, h)))
+
+
+def crawl_links(base: Column, s: Column) -> Column:
+    """All links that a crawl follows: also URLs in scripts and raw HTML, and add forms."""
+    return links(base, s, "adds", "crawl_inline")
 
 
 def _evidence(*parts: tuple[Column, Column | str]) -> Column:
@@ -156,7 +183,7 @@ def decide_a(url: Column, s: Column) -> Column:
 
 def decide_b(url: Column, s: Column) -> Column:
     """The same on the second platform."""
-    found = links(url, s)
+    found = links(url, s, "adds", "inline")
     products = F.size(F.filter(found, urls.numeric_add))
     categories = F.size(F.filter(found, lambda u: urls.cart_slug(u).isNotNull()))
     priced = F.size(text.prices(s["body"])) > 0

@@ -172,3 +172,14 @@ def test_pages(spark):
     out = html_pages.parsed(spark.createDataFrame(rows, "platform string, final_url string, html string")).collect()
     got = [(r["in_stock"], r["is_product"], r["is_category"]) for r in out]
     assert got == [(1, True, False), (0, True, False), (-1, False, True), (0, True, False), (-1, False, False)]
+
+
+def test_inline_links_and_add_forms(spark):
+    form = "<form><input type=hidden name=action value=add><input type=hidden name=id value=7></form>"
+    rows = [("https://x/a", "<script>go('/index.php?/cart/&action=add&id=5')</script>"), ("https://x/a", form), ("https://x/a", "<script>u='cart.php?gid=2'</script>"), ("https://x/a", "<p>none")]
+    df = spark.createDataFrame(rows, "final_url string, html string").withColumn("platform", F.lit("b"))
+    got = [(r["is_category"], r["evidence"]) for r in html_pages.parsed(df).collect()]
+    assert got == [(True, ["product-link-count:1"]), (True, ["product-link-count:1"]), (False, []), (False, [])]
+    found = df.withColumn("s", html_pages.signals(F.col("html"))).select(html_pages.crawl_links(F.col("final_url"), F.col("s")).alias("u")).collect()
+    add = "https://x/index.php?/cart/&action=add&id="
+    assert [r["u"] for r in found][1:] == [[f"{add}7"], ["https://x/cart.php?gid=2"], []] and f"{add}5" in found[0]["u"]
