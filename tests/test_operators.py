@@ -183,3 +183,16 @@ def test_inline_links_and_add_forms(spark):
     found = df.withColumn("s", html_pages.signals(F.col("html"))).select(html_pages.crawl_links(F.col("final_url"), F.col("s")).alias("u")).collect()
     add = "https://x/index.php?/cart/&action=add&id="
     assert [r["u"] for r in found][1:] == [[f"{add}7"], ["https://x/cart.php?gid=2"], []] and f"{add}5" in found[0]["u"]
+
+
+def test_page_signals_by_both_platforms(spark, tmp_path):
+    rows = [
+        (1, "https://x/store/vps/one", "<div class='alert message-danger'>Out of stock</div><h2>One</h2>"),
+        (2, "https://x/?cmd=cart&action=add&id=4", "<p>$5 USD</p><button disabled>Order</button>"),
+        (3, "https://x/about", "<p>none"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["page_id"], r["platform"]): (r["in_stock"], r["is_product"], r["is_category"]) for r in catalogue.QUERIES["page_signals"](spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, "a"): (0, True, False), (1, "b"): (0, False, False), (2, "a"): (-1, False, False), (2, "b"): (0, True, False), (3, "a"): (-1, False, False), (3, "b"): (-1, False, False),
+    }
