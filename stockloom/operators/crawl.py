@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,19 +14,24 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def layers(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int = 3000, group: str = "site") -> DataFrame:
-    """(group, node, depth) of all that is reached from seeds (group, node) over edges (group, src, dst). All groups walk at once; within
-    a layer nodes go by name until the group's page cap is full."""
-    from pyspark.sql import Window
+def _within(new: DataFrame, visited: DataFrame, max_pages: int, group: str) -> DataFrame:
+    """The first of new, by name, for which each group has room."""
+    room = visited.groupBy(group).agg((F.lit(max_pages) - F.count("*")).alias("_room"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("node"))
+    return new.join(room, group).withColumn("_r", place).where("_r <= _room")
+
 
+def layers(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pages: int | None = 3000, group: str = "site") -> DataFrame:
+    """(group, node, depth) of all that is reached from seeds (group, node) over edges (group, src, dst). All groups walk at once; within
+    a layer nodes go by name until the group's page cap is full; None is no cap."""
     visited = _cut(seeds.select(group, "node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_depth + 1):
         new = frontier.join(edges, (frontier[group] == edges[group]) & (frontier["node"] == edges["src"])).select(frontier[group], F.col("dst").alias("node")).distinct()
         new = new.join(visited.select(group, "node"), [group, "node"], "left_anti")
-        room = visited.groupBy(group).agg((F.lit(max_pages) - F.count("*")).alias("_room"))
-        place = F.row_number().over(Window.partitionBy(group).orderBy("node"))
-        frontier = _cut(new.join(room, group).withColumn("_r", place).where("_r <= _room").select(group, "node", F.lit(depth).alias("depth")))
+        if max_pages is not None:
+            new = _within(new, visited, max_pages, group)
+        frontier = _cut(new.select(group, "node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
         visited = _cut(visited.unionByName(frontier))

@@ -262,7 +262,7 @@ def _edges(spark, d) -> DataFrame:
 w(node, depth) as (select cast(1 as bigint), 0 union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 4) select node, min(depth) as depth from w group by node""")
 def bfs_layers(spark, d):
     seeds = spark.range(1, 2).select(F.lit("s").alias("site"), F.col("id").alias("node"))
-    return crawl.layers(_edges(spark, d), seeds, max_depth=4).select("node", "depth")
+    return crawl.layers(_edges(spark, d), seeds, max_depth=4, max_pages=None).select("node", "depth")
 
 
 @query("select c_custkey, c_name, n_name from customer join nation on c_nationkey = n_nationkey where contains(lower(c_name || ' ' || c_mktsegment || ' ' || n_name), 'auto') and c_acctbal > 0")

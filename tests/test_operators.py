@@ -123,6 +123,14 @@ def test_crawl(spark):
     assert {(r["node"], r["depth"]) for r in crawl.layers(edges, seeds, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_crawl_without_cap(spark, monkeypatch):
+    star = spark.range(2, 3502).select(F.lit("s").alias("site"), F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"))
+    monkeypatch.setattr(catalogue, "_edges", lambda spark, d: star)
+    assert catalogue.QUERIES["bfs_layers"](spark, "").count() == 3501
+    seeds = spark.createDataFrame([("s", 1)], "site string, node long")
+    assert crawl.layers(star, seeds, 1, 10).count() == 10
+
+
 def test_catalogue_round_trip(spark):
     rows = spark.createDataFrame([("s", "a", "product", 1, "x"), ("s", "a", "category", 2, "y"), ("t", "b", "product", 3, "z")], "site string, platform string, type string, i int, name_raw string")
     flat = catalog.unnested(catalog.grouped(rows, "i"))
