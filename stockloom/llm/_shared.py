@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only on one machine, where the session names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/stockloom-checkpoints"
 
 
@@ -15,13 +16,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the cluster's shared folder: lineage is cut and no executor's loss can undo it."""
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or LOCAL_FOLDER).rstrip("/")
+
+
+def staged(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """df as a table in the cluster's shared folder: lineage is cut and no executor's loss can undo it. `done` are
+    staged tables that nothing but df reads; they are deleted once df is written."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    path = f"{folder.rstrip('/')}/stockloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stockloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    dropped(*done)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables; whatever reads them must have been staged itself."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that clash with none of df's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -47,7 +78,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        links = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        links = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", done=(links,))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -1,22 +1,31 @@
 """Exact n-gram Jaccard join in a metric space.
 
-A document's set holds its distinct word shingles. Linked are sets whose Jaccard similarity reaches a threshold.
+A document's set holds its distinct word shingles. Linked are sets whose Jaccard distance is at most 1 - threshold.
+Equal sets are one node throughout.
 
-Regions: each document lies in the regions of the pivot shingles that come first in a fixed order of all
-shingles; it is replicated to as many as the threshold requires, so two linked documents always meet. Shingles of
-rare words come first (word frequencies are counted over the whole corpus into a table of fixed size), so regions
-around common passages stay out of the way. Regions with the same members are one. Within a region, triangle-inequality
-windows apply around two kinds of further pivots: sizes (the distance to the empty set) must lie within the threshold of each
-other, which deals a region into overlapping bands; and the counts of a set's shingles over cells of the
-shingle space differ by no more than the sets themselves.
+Pivots: unrelated documents all lie at distance 1 from each other, so no document can serve as a pivot for all. Each
+document therefore first looks for pivots among those documents that it can be near to: of all nodes that share one of a
+document's first shingles (in an order of all shingles, those of rare words first, as many as the threshold requires, so
+that two linked documents always share one), the least by hash is a pivot. The region of a pivot holds all nodes that
+found it; linked nodes always meet in one, and overlapping neighbourhoods elect the same pivot, so regions stay few.
 
-Recursion: first each band's documents are compared with the band's PIVOTS pivot documents; those within the threshold form
-balls, and balls that share a document are one component. Then only pairs across components that no window excludes are compared, so a group
-of near copies costs a star, not all its pairs. Every comparison is exact on whole sets.
+Windows: within a region, a node stays only if some other one is near enough by two lower bounds of the distance: that of
+the sizes (the difference of the distances to the empty set) and that of the counts of shingles over cells of the shingle space.
+
+Recursion: a region's nodes then meet with their whole sets. Voronoi cells form around PIVOTS pivot documents, chosen
+each as far as can be from those before; a node at distance d from its own pivot also visits the cells of all pivots
+within d + 2 (1 - threshold), which the triangle inequality shows to be enough; cells are divided again with pivots
+of their own until they are small or no longer shrink. Nodes within the threshold of a pivot are one component, and what one component holds is
+never compared within itself. Only edges that join components leave a region, fewer than it has nodes.
+
+A region with more shingles than LIMIT is cut into slices that carry the same pivots. Each slice is joined by itself and yields
+every node's distances to the pivots; then the nodes outside the region's largest component visit those parts of the Voronoi cells that the windows around all pivots leave open.
+So no task holds more than about LIMIT shingles of a region, whatever its size.
 
 Defined cases: null or wordless texts have an empty set (n_shingles 0) and are linked with nothing: component_id is their own doc_id;
-equal sets are one node; rows that repeat a doc_id with the same text give equal rows; an empty table gives an empty
-result; other columns are ignored by `classes`.
+rows that repeat a doc_id with the same text give equal rows; rows of one doc_id with different texts are documents of their own that share the id; rows
+without doc_id take part, and their component_id is null if no document of their component has an id; an empty table gives an empty
+result; other columns are ignored by `classes` and pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -25,19 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm._shared import components, staged, table
+from stockloom.llm._shared import components, fresh, staged, table
 
 BUCKETS = 1 << 16  # of the word frequency table
 #: Cells of a set's counts, by its size: few for small sets, more above each bound.
 CELLS = ((512, 64), (4096, 256), (1 << 62, 1024))
 BLOCK = 1 << 20
-#: Groups of more rows than this are passed on as they come, without the search for equal regions.
-STREAM = 50_000
-#: Pivot documents of a band.
+#: Regions of more nodes than this skip the windows of sizes and counts: all their nodes meet with whole sets.
+GROUP = 4096
+#: Shingles of a region that one task holds, about.
+LIMIT = 1 << 20
+#: Pivot documents of a division, and the number of nodes below which none is made.
 PIVOTS = 8
+SMALL = 128
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -115,17 +127,12 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return np.round(4 * np.log2(out + 1)).astype(np.int16)
 
 
-def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Least intersection of linked sets of sizes n and m."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (a hash of the set), cells (counts by cell), keys (pivot shingles)."""
+    """doc_id, text_hash, n (set size), node (a hash of the set), cells (counts by cell), keys (first shingles)."""
     levels = word_levels(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 1):
+        for part, texts in _texts(batches, 2):
             words, first = word_hashes(texts)
             level = levels[(words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
             sizes, nodes, cells, keys = [], [], [], []
@@ -143,59 +150,27 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 h, at = np.unique(h, return_index=True)
                 n = len(h)
                 sizes.append(n)
-                with np.errstate(over="ignore"):
-                    nodes.append(int((_mixed(h + np.uint64(n)).sum() ^ np.uint64(n)).view(np.int64)))
+                nodes.append(_node(h))
                 count = next(c for bound, c in CELLS if n < bound)
                 cells.append(np.minimum(255, np.bincount((h >> np.uint64(65 - count.bit_length())).astype(np.int64), minlength=count)).astype(np.uint8).tobytes())
                 most = n - -(-percent * n // 100) + 1
                 keys.append(h[np.lexsort((h, score[at]))[:most]].view(np.int64))
-            columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "cells", "keys"])
+            columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "node", "cells", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, cells binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, node long, cells binary, keys array<long>")
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(region, node) of keys that several nodes share, from rows sorted by (key, node). A region is named
-    after its members, so that keys with the same members name it equally."""
-
-    def named(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        with np.errstate(over="ignore"):
-            name = _mixed(np.add.reduceat(_mixed(node.view(np.uint64)), begin) + size.astype(np.uint64)) if len(begin) else begin.astype(np.uint64)
-        keep = np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(node[keep])], names=["region", "node"])
-
-    key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    streaming = None
-    for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-        node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
-        if not len(key):
-            continue
-        if streaming is not None:
-            more = np.searchsorted(key, streaming, "right")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(more, streaming)), pa.array(node[:more])], names=["region", "node"])
-            key, node = key[more:], node[more:]
-            if not len(key):
-                continue
-            streaming = None
-        last = np.searchsorted(key, key[-1])
-        if last:
-            yield named(key[:last], node[:last])
-            key, node = key[last:], node[last:]
-        if len(key) > STREAM:
-            streaming = key[0]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["region", "node"])
-            key, node = key[:0], node[:0]
-    if len(key):
-        yield named(key, node)
+def _node(h: np.ndarray) -> int:
+    """The hash that names a set."""
+    n = np.uint64(len(h))
+    with np.errstate(over="ignore"):
+        return int((_mixed(h + n).sum() ^ n).view(np.int64))
 
 
 def _most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Largest symmetric difference of linked sets of sizes n and m."""
-    return n + m - 2 * _needed(n, m, percent)
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
 
 
 def _coarse(cells: list[bytes], count: int) -> np.ndarray:
@@ -220,151 +195,352 @@ def _near(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent:
     return out
 
 
-def _across(rows: dict[str, np.ndarray], cells: list[bytes], percent: int, pivots: int = 0) -> np.ndarray:
-    """Pairs (a, b) of nodes in one group but different components that no window excludes. rows: group, node, n,
-    component and visitor (from the next band: two visitors meet in their own band), sorted by group. With pivots, only pairs
-    with one of a group's pivots; else all, but a group's largest component is compared with, not within."""
-    group, node, n, part, visitor = (rows[c] for c in ("group", "node", "n", "component", "visitor"))
+def _windowed(cell: np.ndarray, n: np.ndarray, counts: list[bytes], percent: int) -> np.ndarray:
+    """Of rows sorted by cell: True where another row of the cell is near enough by its size and counts."""
     least = CELLS[0][1]
-    low = np.empty((len(cells), least), np.int16)
-    sizes = np.array([len(c) for c in cells])
+    low = np.empty((len(counts), least), np.int16)
+    sizes = np.array([len(c) for c in counts])
     for count in np.unique(sizes):
         at = np.flatnonzero(sizes == count)
-        low[at] = _coarse([cells[i] for i in at], least)
-    found: list[np.ndarray] = []
+        low[at] = _coarse([counts[i] for i in at], least)
+    alive = np.zeros(len(cell), bool)
 
     def sift(i: np.ndarray, j: np.ndarray) -> None:
-        good = (part[i] != part[j]) & ~(visitor[i] & visitor[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        good = ~(alive[i] & alive[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[good], j[good]
-        most = _most_apart(n[i], n[j], percent)
         for at in range(0, len(i), 100_000):
-            k = slice(at, at + 100_000)
-            good = np.flatnonzero(np.abs(low[i[k]] - low[j[k]]).sum(-1, dtype=np.int64) <= most[k])
-            if len(good):
-                found.append(np.column_stack([i[k][good], j[k][good]]))
-
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(begin, len(group)))
-    for j in range(pivots):
-        with np.errstate(over="ignore"):
-            h = _mixed(node.view(np.uint64) + np.uint64(j) * np.uint64(0x9E3779B97F4A7C15))
-        pivot = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, begin), size))
-        pivot = pivot[np.unique(group[pivot], return_index=True)[1]]
-        sift(np.arange(len(group)), np.repeat(pivot, size))
-    for g in np.unique(size[(size > 1) & (size <= 64)]) if not pivots else ():
+            x, y = i[at : at + 100_000], j[at : at + 100_000]
+            good = np.abs(low[x] - low[y]).sum(-1, dtype=np.int64) <= _most_apart(n[x], n[y], percent)
+            x, y = x[good], y[good]
+            if len(x):
+                good = _near([counts[a] for a in x], [counts[b] for b in y], n[x], n[y], percent)
+                alive[x[good]] = alive[y[good]] = True
+
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.append(begin, len(cell)))
+    for g in np.unique(size[(size > 1) & (size <= 64)]):
         starts = begin[size == g]
         i, j = np.triu_indices(g, 1)
-        for at in range(0, len(starts), max(1, 400_000 // len(i))):
-            some = starts[at : at + max(1, 400_000 // len(i)), None]
+        step = max(1, 400_000 // len(i))
+        for at in range(0, len(starts), step):
+            some = starts[at : at + step, None]
             sift((some + i).ravel(), (some + j).ravel())
-    for a, g in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True) if not pivots else ():
-        names, counts = np.unique(part[a : a + g], return_counts=True)
-        largest = names[counts.argmax()]
-        all_rows = np.arange(a, a + g)
-        for i in np.flatnonzero(part[a : a + g] != largest) + a:
-            sift(np.full(g, i), all_rows)
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate(found)
-    named = np.sort(node[pairs], axis=1)
-    named, at = np.unique(named, axis=0, return_index=True)
-    pairs = pairs[at]
-    good = _near([cells[i] for i in pairs[:, 0]], [cells[j] for j in pairs[:, 1]], n[pairs[:, 0]], n[pairs[:, 1]], percent)
-    return named[good]
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets are linked."""
-    pairs = staged(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.join(need, "node").select("node", "doc_id"), "doc_id").select("node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in _texts(batches, 1):
-            words, first = word_hashes(raw)
-            out = [np.unique(shingles(words[a:b], k)).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["node", "set"])
-
-    held = staged(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                inside = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inside >= percent * (len(x) + len(y) - inside))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    both = pairs.join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "linked")
-
+    for a, g in zip(begin[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        for i in range(0, g, 64):
+            rows, columns = np.arange(i, min(g, i + 64)), np.arange(i + 1, g)
+            x, y = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
+            sift(a + x[x < y], a + y[x < y])
+    return alive
+
+
+def linked(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, small: int = SMALL, pivots: int = PIVOTS) -> list[tuple[int, int]]:
+    """Links (i, j) that join what all links of these sets join, beyond the components that `label` names. Exact, by recursive
+    division into Voronoi cells."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    part = np.unique(label, return_inverse=True)[1] if label is not None else np.arange(m)
+    edges: list[tuple[int, int]] = []
+    if m < 2 or part.max() == 0:
+        return edges
+    if m == 2:
+        inside = int(size.sum()) - len(np.unique(np.concatenate(sets)))
+        return [(0, 1)] if 100 * inside >= percent * (size.sum() - inside) else edges
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    marked = np.zeros(int(code.max()) + 1, bool)
+    apart = 2 * (1 - percent / 100) + 1e-9
+
+    def join(i: int, others: np.ndarray) -> None:
+        names, at = np.unique(part[others], return_index=True)
+        for name, j in zip(names.tolist(), others[at].tolist(), strict=True):
+            if name != part[i]:
+                edges.append((i, j))
+                part[part == name] = part[i]
+
+    def elements(idx: np.ndarray) -> np.ndarray:
+        """Positions in code of the elements of idx, in order."""
+        n = size[idx]
+        ends = np.cumsum(n)
+        return np.arange(ends[-1]) + np.repeat(begin[idx] - (ends - n), n)
+
+    def divide(idx: np.ndarray) -> None:
+        if len(idx) < 2 or (part[idx] == part[idx[0]]).all():
+            return
+        if len(idx) > small:
+            e, offset = code[elements(idx)], np.concatenate([[0], np.cumsum(size[idx])[:-1]])
+            away, least, pivot = [], np.full(len(idx), 2.0), 0
+            for _ in range(pivots):
+                own = code[begin[idx[pivot]] : begin[idx[pivot] + 1]]
+                marked[own] = True
+                inside = np.add.reduceat(marked[e], offset, dtype=np.int64)
+                marked[own] = False
+                union = size[idx] + len(own) - inside
+                join(int(idx[pivot]), idx[100 * inside >= percent * union])
+                away.append(1 - inside / union)
+                least = np.minimum(least, away[-1])
+                pivot = int(least.argmax())
+                if least[pivot] <= 0:
+                    break
+            cells = [idx[d <= least + apart] for d in away]
+            if max(map(len, cells)) <= 0.7 * len(idx):
+                for cell in cells:
+                    divide(cell)
+                return
+        compare(idx)
+
+    def compare(idx: np.ndarray) -> None:
+        """All pairs of idx across components, by counts of common elements: frequent ones as a matrix, others by postings."""
+        names, counts = np.unique(part[idx], return_counts=True)
+        if len(names) < 2:
+            return
+        loose = np.flatnonzero(part[idx] != names[counts.argmax()])
+        k = len(idx)
+        e, owner = code[elements(idx)], np.repeat(np.arange(k), size[idx])
+        seen, e, often = np.unique(e, return_inverse=True, return_counts=True)
+        frequent = often > max(8, k / 16)
+        column = np.cumsum(frequent) - 1
+        at = frequent[e]
+        dense = np.zeros((k, int(frequent.sum())), np.float32)
+        dense[owner[at], column[e[at]]] = 1
+        at = ~at & (often[e] > 1)
+        rare, rare_owner = e[at], owner[at]
+        order = np.argsort(rare, kind="stable")
+        posting = rare_owner[order]
+        first = np.searchsorted(rare[order], np.arange(len(seen) + 1))
+        own = np.searchsorted(rare_owner, np.arange(k + 1))
+        step = max(1, min(256, 1_000_000 // k))
+        for a in range(0, len(loose), step):
+            rows = loose[a : a + step]
+            inside = dense[rows] @ dense.T
+            terms = np.concatenate([rare[own[r] : own[r + 1]] for r in rows])
+            if len(terms):
+                which = np.repeat(np.arange(len(rows)), own[rows + 1] - own[rows])
+                n = first[terms + 1] - first[terms]
+                ends = np.cumsum(n)
+                where = np.arange(ends[-1]) + np.repeat(first[terms] - (ends - n), n)
+                inside = inside + np.bincount(np.repeat(which, n) * k + posting[where], minlength=len(rows) * k).reshape(len(rows), k)
+            hit = (100 + percent) * inside >= percent * (size[idx][None, :] + size[idx[rows]][:, None])
+            hit &= part[idx][None, :] != part[idx[rows]][:, None]
+            for r in np.flatnonzero(hit.any(1)):
+                join(int(idx[rows[r]]), idx[hit[r]])
+
+    divide(np.arange(m))
+    return edges
+
+
+def _sets(raw: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Batches cut at changes of the first `keys` columns, by which rows are sorted: (key, slice), one key often in several slices in turn."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tuple(c[a].item() for c in columns), batch.slice(a, b - a)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key together."""
+    held, now = [], None
+    for key, some in _grouped(batches, keys):
+        if key != now and held:
+            yield now, pa.Table.from_batches(held)
+            held = []
+        now = key
+        held.append(some)
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _large_regions(large: DataFrame, held: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Links of regions that no task can hold; large: cell, node, n, load."""
+    apart = 1 - percent / 100 + 1e-6
+    sliced = large.withColumn("slices", F.ceil(F.col("load") / limit).cast("int")).withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    first = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(1), "node"), "node")
+    pivots = sliced.withColumn("pivot", F.row_number().over(first)).where(F.col("pivot") <= PIVOTS)
+    pivots = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = sliced.withColumn("pivot", F.lit(PIVOTS + 1)).unionByName(pivots).select("cell", "slice", "pivot", "node", "n")
+    rows = rows.join(held, "node").select("cell", "slice", "pivot", "node", "n", "set").repartition("cell", "slice").sortWithinPartitions("cell", "slice", "pivot", "node")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (cell, _), t in _whole(batches, 2):
+            pivot, node, n = (t.column(c).to_numpy() for c in ("pivot", "node", "n"))
+            sets = _sets(t.column("set"))
+            links = [(int(node[i]), int(node[j])) for i, j in linked(sets, percent) if node[i] != node[j]]
+            members = np.flatnonzero(pivot > PIVOTS)
+            code = np.concatenate(sets)
+            ends = np.cumsum(n)
+            away = np.ones((len(n), PIVOTS), np.float32)
+            for p in np.flatnonzero(pivot <= PIVOTS):
+                inside = np.add.reduceat(np.isin(code, sets[p]), ends - n, dtype=np.int64)
+                away[:, pivot[p] - 1] = 1 - inside / (n + n[p] - inside)
+            size = len(links) + len(members)
+            none = [None] * len(links)
+            columns = [
+                pa.array([cell] * size, pa.int64()), pa.array([a for a, _ in links] + node[members].tolist(), pa.int64()), pa.array([b for _, b in links] + [None] * len(members), pa.int64()),
+                pa.array(none + n[members].tolist(), pa.int64()), pa.array(none + list(away[members]), pa.list_(pa.float32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "a", "b", "n", "away"])
+
+    found = staged(rows.mapInArrow(placed, "cell long, a long, b long, n long, away array<float>"), "slices")
+    near = found.where("b IS NOT NULL").select("a", "b")
+    joined = staged(components(near), "slice-components")
+    place = found.where("b IS NULL").select("cell", F.col("a").alias("node"), "n", "away").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = place.groupBy("cell", "component").agg(F.count("*").alias("size")).groupBy("cell").agg(F.max_by("component", F.struct("size", "component")).alias("most"))
+    place = place.join(most, "cell").withColumn("loose", F.col("component") != F.col("most")).withColumn("home", F.array_position("away", F.array_min("away")).cast("int")).drop("most")
+    place = kept = staged(place, "places", done=(joined,))
+    loads = place.groupBy("cell", "loose", "home").agg(F.ceil(F.sum("n") / limit).cast("int").alias("salts"))
+    place = place.join(loads, ["cell", "loose", "home"]).withColumn("part", F.struct("loose", "home", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("salts")).cast("int").alias("salt"))).drop("salts", "home")
+    every = [(f, f(F.get("away", F.lit(i)))) for f in (F.min, F.max) for i in range(PIVOTS)]
+    parts = place.groupBy("cell", "part").agg(F.array(*[c for f, c in every if f is F.min]).alias("lo"), F.array(*[c for f, c in every if f is F.max]).alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    goes = place.where("loose").select("cell", "node", "n", "away", "component", F.col("part").alias("own")).join(parts, "cell")
+    open_to = (~F.col("part.loose") | (F.col("own") < F.col("part"))) & (F.col("n") * 100 >= percent * F.col("n_lo")) & (F.col("n_hi") * 100 >= percent * F.col("n"))
+    for i in range(PIVOTS):
+        open_to &= F.get("away", F.lit(i)).between(F.get("lo", F.lit(i)) - apart, F.get("hi", F.lit(i)) + apart)
+    visits = goes.where(open_to).select("cell", "part", F.lit(True).alias("visitor"), "component", "node")
+    rows = place.select("cell", "part", F.lit(False).alias("visitor"), "component", "node").unionByName(visits)
+    rows = rows.select("cell", F.xxhash64("part").alias("part"), F.col("part.loose").alias("loose"), "visitor", "component", "node").join(held, "node")
+    rows = rows.select("cell", "part", "visitor", "loose", "component", "node", "set").repartition("cell", "part").sortWithinPartitions("cell", "part", "visitor", "node")
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, guests, now, weight = [], [], None, 0
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            if home and (guests or (last and alone and home[0].column(3)[0].as_py())):
+                t = pa.Table.from_batches([*home, *guests])
+                node = t.column(5).to_numpy()
+                yield _edges([(int(node[i]), int(node[j])) for i, j in linked(_sets(t.column(6)), percent, t.column(4).to_numpy())])
+
+        alone = True
+        for key, some in _grouped(batches, 3):
+            if key[:2] != now:
+                yield from settled(True)
+                home, guests, now, weight, alone = [], [], key[:2], 0, True
+            for at in range(0, some.num_rows, 64):
+                few = some.slice(at, 64)
+                if not key[2]:
+                    home.append(few)
+                else:
+                    guests.append(few)
+                    weight += few.column(6).nbytes // 8
+                    if weight > limit:
+                        yield from settled(False)
+                        guests, weight, alone = [], 0, False
+        yield from settled(True)
+
+    return near, staged(rows.mapInArrow(visited, "a long, b long"), "visits", done=(kept,))
+
+
+def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, group: int = GROUP, limit: int = LIMIT) -> DataFrame:
+    """Edges (a, b) of nodes whose components are those of all links. own: node, n, cells, keys; reps: node, doc_id, text_hash of one document each."""
+    keyed = own.select(F.explode("keys").alias("key"), "node")
+    pivots = keyed.groupBy("key").agg(F.min("node").alias("cell"), F.count("*").alias("found")).where("found > 1").select("key", "cell")
+    met = staged(keyed.join(pivots, "key").select("cell", "node").distinct(), "regions")
+    sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
+    big = staged(sizes.where(F.col("size") > group).select("cell"), "big-regions")
+    few = met.join(big, "cell", "left_anti").join(own.select("node", "n", "cells"), "node").select("cell", "node", "n", "cells")
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sifted(t: pa.Table) -> pa.RecordBatch:
+            cell, n = t.column(0).to_numpy(), t.column(2).to_numpy()
+            at = pa.array(np.flatnonzero(_windowed(cell, n, t.column(3).to_pylist(), percent)))
+            return t.select([0, 1, 2]).take(at).combine_chunks()
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
-    rows = staged(sketches(docs, words, percent), "sketches")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = staged(nodes, "nodes")
-    own = rows.join(nodes, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    keyed = own.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    regions = keyed.mapInArrow(_regions, "region long, node long").distinct()
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    members = regions.join(rows.where("n > 0").select("node", "n", "cells").dropDuplicates(["node"]), "node")
-    # linked sizes differ by one band at most: each band takes the next one's documents too
-    members = members.withColumn("home", band).withColumn("band", F.explode(F.array(F.col("home"), F.col("home") - 1)))
-    members = staged(members, "members")
-    columns = ["region", "band", "node", "n", "component", F.expr("home != band").alias("visitor"), "cells"]
-
-    def grouped(df: DataFrame) -> DataFrame:
-        return df.select(*columns).repartition("region", "band").sortWithinPartitions("region", "band")
-
-    def across(batches: Iterator[pa.RecordBatch], pivots: int = 0) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        names = ["region", "band", "node", "n", "component", "visitor", "cells"]
-
-        def settled(t: pa.Table) -> pa.RecordBatch:
-            c = {k: t.column(k).to_numpy() for k in names[:-1]}
-            change = np.concatenate([[True], (c["region"][1:] != c["region"][:-1]) | (c["band"][1:] != c["band"][:-1])]) if len(t) else np.zeros(0, bool)
-            c["group"] = np.cumsum(change)
-            pairs = _across(c, t.column("cells").to_pylist(), percent, pivots)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], names=["a", "b"])
-
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= 30_000:
                 t = pa.Table.from_batches(held)
-                region, band = (t.column(k).to_numpy() for k in names[:2])
-                cut = int(np.flatnonzero((region != region[-1]) | (band != band[-1]))[-1]) + 1 if (region[0], band[0]) != (region[-1], band[-1]) else 0
-                if cut:  # whole groups only
-                    yield settled(t.slice(0, cut))
+                cut = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
+                if cut:  # whole regions only
+                    yield from sifted(t.slice(0, cut)).to_batches()
                     held = t.slice(cut).to_batches()
         if held:
-            yield settled(pa.Table.from_batches(held))
-
-    starred = grouped(members.withColumn("component", F.col("node"))).mapInArrow(lambda batches: across(batches, PIVOTS), "a long, b long")
-    star = _verified(docs, nodes, starred, words, percent)
-    joined = components(star)
-    joined = staged(joined, "stars")
-    open_rows = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    undone = open_rows.groupBy("region", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region", "band")
-    open_rows = open_rows.join(undone, ["region", "band"])
-    rest = grouped(open_rows).mapInArrow(lambda batches: across(batches), "a long, b long")
-    links = star.unionByName(_verified(docs, nodes, rest, words, percent))
-    # names of components by their smallest document
-    named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+            yield from sifted(pa.Table.from_batches(held)).to_batches()
+
+    stay = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(windowed, "cell long, node long, n long")
+    stay = stay.unionByName(met.join(big, "cell").join(own.select("node", "n"), "node").select("cell", "node", "n"))
+    stay = staged(stay, "survivors", done=(met, big))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in _texts(batches, 1):
+            hashed, first = word_hashes(raw)
+            held = [np.unique(shingles(hashed[a:b], words)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "set"])
+
+    need = reps.join(stay.select("node").distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
+    texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text")
+    held = staged(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
+    loads = stay.groupBy("cell").agg(F.sum("n").alias("load"), F.count("*").alias("size")).where("size > 1")
+    large = staged(loads.where(F.col("load") > limit).select("cell", "load"), "large-regions")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _whole(batches, 1):
+            if t.num_rows > 1:
+                node = t.column(1).to_numpy()
+                yield _edges([(int(node[i]), int(node[j])) for i, j in linked(_sets(t.column(2)), percent)])
+
+    rows = stay.join(large, "cell", "left_anti").join(held, "node").select("cell", "node", "set").repartition("cell").sortWithinPartitions("cell", "node")
+    out = staged(rows.mapInArrow(joined, "a long, b long"), "edges")
+    if large.head(1):
+        for more in _large_regions(stay.join(large, "cell"), held, percent, limit):
+            out = out.unionByName(more)
+    return staged(out, "links", done=(stay, held, large))
+
+
+def _named(docs: DataFrame, words: int, percent: int, group: int = GROUP, limit: int = LIMIT) -> DataFrame:
+    """doc_id, text_hash, n, node and component (the name of a node, for rows with words) and component_id of every row of docs (doc_id, text_hash, text)."""
+    rows = staged(sketches(docs.select("doc_id", "text_hash", "text"), words, percent), "sketches")
+    some = rows.where("n > 0")
+    own = staged(some.dropDuplicates(["node"]).select("node", "n", "cells", "keys"), "nodes")
+    reps = some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least")).select("node", "rep.*", "least")
+    reps = staged(reps, "representatives")
+    slim = staged(rows.select("doc_id", "text_hash", "n", "node"), "documents", done=(rows,))
+    edges = links(docs, own, reps, words, percent, group, limit)
+    named = reps.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = staged(named, "components", done=(own, reps, edges))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return slim.join(named.join(least, "component").select("node", "component", "component_id"), "node", "left")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def classes(docs: DataFrame, words: int = 5, percent: int = 80, group: int = GROUP, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
+    rows = _named(_hashed(docs), words, percent, group, limit)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that with the smallest doc_id."""
-    gone = classes(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").select(*[docs[c] for c in docs.columns])
+    """Pipeline stage: of each component one row stays, that with the smallest doc_id (rows without one last, then by
+    text hash; of rows that repeat both, any one). Rows without words stay."""
+    rows = staged(_named(_hashed(docs), 5, 80).select("doc_id", "text_hash", "n", "component"), "stage-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = rows.where("n > 0").groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+    told = rows.where("n > 0").join(first, "component").withColumn("stays", order == F.col("first"))
+    by_text, by_id, stays = fresh(docs, "text_hash", "id", "stays")
+    key = told.groupBy("doc_id", "text_hash").agg(F.max("stays").alias(stays), F.count("*").alias("copies"))
+    key = staged(key.select(F.col("doc_id").alias(by_id), F.col("text_hash").alias(by_text), stays, "copies"), "stage-kept", done=(rows,))
+    hashed = docs.withColumn(by_text, F.xxhash64("text"))
+    same = hashed["doc_id"].cast("long").eqNullSafe(key[by_id]) & (hashed[by_text] == key[by_text])
+    # rows that stay alone are not moved; rows that repeat a doc_id and text are reduced to one
+    alone = hashed.join(key.where(f"NOT {stays} OR copies > 1"), same, "left_anti").select(*[hashed[c] for c in docs.columns])
+    again = hashed.join(key.where(f"{stays} AND copies > 1"), same, "left_semi").dropDuplicates(["doc_id", by_text])
+    return alone.unionByName(again.select(*[again[c] for c in docs.columns]))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

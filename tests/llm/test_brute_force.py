@@ -46,36 +46,84 @@ def test_suffix_dedup(spark, monkeypatch, many):
     assert found == repeats([(t or "").encode() for t in texts], 200)
 
 
-def test_jaccard_join(spark):
-    rng = random.Random(4)
+def shingle_sets(texts, k):
+    out = []
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+def linked_components(sets, percent):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     base = [[rng.choice(vocabulary) for _ in range(rng.choice([3, 10, 60, 150]))] for _ in range(12)]
     texts = []
-    for _ in range(200):
+    for _ in range(n):
         w = list(rng.choice(base))
         for _ in range(rng.randint(0, max(1, len(w) // 30))):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         texts.append(" ".join(w))
-    texts += [*TRICKY, "One", "one"]
-    for k, percent in ((4, 85), (5, 80)):
+    return texts
+
+
+@pytest.mark.parametrize(("k", "percent", "group", "limit"), [(4, 85, 4096, 1 << 20), (5, 80, 3, 400)])
+def test_jaccard_join(spark, k, percent, group, limit):
+    """The second case sends most regions past the windows and cuts them into slices that visit each other."""
+    texts = [*near_copies(4, 200), *TRICKY, "One", "one"]
+    sets = shingle_sets(texts, k)
+    rows = jaccard_join.classes(documents(spark, texts, True), k, percent, group, limit).collect()
+    want = linked_components(sets, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(x), want[i]) for i, x in enumerate(sets)}
+
+
+def test_jaccard_division():
+    """Recursive division into Voronoi cells joins what all pairs join, with fewer links than sets."""
+    rng = random.Random(9)
+    for n in (2, 40, 300):
+        base = [rng.sample(range(10**6), size) for size in (5, 30, 100)]
         sets = []
-        for t in texts:
-            w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-            sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
-        parent = list(range(len(sets)))
-
-        def find(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for i, x in enumerate(sets):
-            for j in range(i):
-                if x and sets[j] and 100 * len(x & sets[j]) >= percent * len(x | sets[j]):
-                    a, b = find(i), find(j)
-                    parent[max(a, b)] = min(a, b)
-        rows = jaccard_join.classes(documents(spark, texts, True), k, percent).collect()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(x), find(i)) for i, x in enumerate(sets)}
+        for _ in range(n):
+            b = rng.choice(base)
+            s = set(b)
+            for _ in range(rng.randint(0, max(1, len(b) // 6))):
+                s.discard(rng.choice(b))
+                s.add(rng.randrange(10**6))
+            sets.append(s)
+        edges = jaccard_join.linked([np.array(sorted(s), np.uint64) for s in sets], 85, small=16, pivots=4)
+        got = list(range(n))
+        for i, j in edges:
+            a, b = got[i], got[j]
+            got = [min(a, b) if x in (a, b) else x for x in got]
+        assert got == linked_components(sets, 85) and len(edges) < n
+
+
+def test_jaccard_stage(spark):
+    """One row of each component stays; rows without an id, repeated rows and shared ids are told apart by their texts."""
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    near = words[0] + " more"
+    rows = [(1, words[0]), (1, words[0]), (2, near), (3, words[1]), (3, words[2]), (None, words[3]), (None, words[3]), (None, words[1]), (7, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "s", 5, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, text_hash string, stays int, id int")
+    got = jaccard_join.keep_one(spark, docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, words[0]), (3, words[1]), (3, words[2]), (None, words[3]), (7, None), (8, ""), (8, "")], key=str)
 
 
 def test_bpe_and_packing(spark):
