@@ -2,16 +2,20 @@
 
 Every LENGTH-byte window is dealt to a key that only its content decides: the least hash of its GRAM-byte grams.
 Neighbouring windows in which one gram is the first of the least hash form a run, so equal windows always meet under
-one key, in different runs, and a key that one run has holds no repeat. Runs of equal content are one class, counted before any text moves. Where a key has several
-classes, one text of each is fetched, and blocks of whole keys are decided on the Burrows-Wheeler transform of their
-classes: boundaries between suffixes are derived by increasing common prefix, breadth first by backward extension,
-up to the least length; neighbours in suffix order that no boundary below LENGTH parts repeat each other.
+one key, in different runs, and a key that one run has holds no repeat: it is dropped before any text moves. Runs of equal
+content are one class with their number as its weight, and one text stands for each.
 
-Keys with very many classes (a passage that many documents share, between differing neighbours) are dealt
-anew: each window becomes a run of its own under a key of its whole content, where the class counts decide.
+Blocks of whole keys are decided on the Burrows-Wheeler transform of their classes: boundaries between suffixes are
+derived by increasing common prefix, breadth first by backward extension, up to the least length. What no boundary below
+LENGTH parts is an interval; where the weights of an interval's suffixes come to two or more, its windows repeat.
+
+A key whose classes exceed HOT bytes (a passage that many documents share, between differing neighbours) is dealt
+anew: each of its windows becomes a class of its own under the hash of its whole content, and the classes of weight two or more go
+through the same transform.
 
 Defined cases: null text is empty; texts shorter than LENGTH bytes are unchanged; a string that repeats within one document counts;
-rows that repeat a doc_id are copies of one another; an empty table gives an empty result; other columns are ignored
+every row counts, so rows that repeat a doc_id and text repeat each other; rows of one doc_id with different texts, and rows without
+doc_id, have spans of their own; an empty table gives an empty result; other columns are ignored
 by `repeats` and pass through `without_repeats` untouched.
 """
 
@@ -22,16 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm._shared import staged, table
+from stockloom.llm._shared import fresh, staged, table
 
 LENGTH = 200
 GRAM = 64  # a power of two below LENGTH
 BLOCK = 1 << 20
-#: A key with more classes than this is dealt anew by window.
-MANY = 2000
+#: A key whose classes hold more bytes than this is dealt anew by window.
+HOT = 1 << 21
 WHERE = "array<struct<lo:int,hi:int>>"
 
 
@@ -98,7 +102,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents laid end to end, about BLOCK bytes at a time: ids, bytes, starts, ends."""
+    """Documents laid end to end, about BLOCK bytes at a time: (doc_id, text_hash), bytes, starts, ends."""
     ids, texts, size = [], [], 0
 
     def laid():
@@ -106,79 +110,91 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         return ids, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for own, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             if ids and size + len(raw) > BLOCK:
                 yield laid()
                 ids, texts, size = [], [], 0
-            ids.append(doc_id)
+            ids.append(own)
             texts.append(raw)
             size += len(raw)
     if ids:
         yield laid()
 
 
-def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of texts, each closed by an end mark of its own: their order, its inverse, the symbols (end marks
-    below bytes), each position's text and its offset there."""
+    below bytes), each position's text, its offset there and the letters it has before the end mark."""
     sizes = np.array([len(t) + 1 for t in texts])
     n, m = int(sizes.sum()), len(texts)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-    text = np.repeat(np.arange(m), sizes)
-    offset = np.arange(n) - begins[text]
-    close = begins[text] + sizes[text] - 1  # where the text's end mark is
+    text = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    at = np.arange(n, dtype=np.int32)
+    left = np.repeat((begins + sizes - 1).astype(np.int32), sizes) - at
     code[begins + sizes - 1] = 0
     packed = np.zeros(n, np.int64)
-    at = np.arange(n)
     for j in range(7):
-        inside = at + j < close
-        packed = (packed << 9) | np.where(inside, code[np.minimum(at + j, n - 1)], 0)
-    ends = close - at < 7
-    order = np.lexsort((np.where(ends, text, -1), packed))
-    p, e = packed[order], np.where(ends, text, -1)[order]
+        shifted = np.zeros(n, np.int64)
+        shifted[: max(n - j, 0)] = code[j:]
+        packed = (packed << 9) | np.where(left > j, shifted, 0)
+    order = np.argsort(packed)
+    head = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])
     rank = np.empty(n, np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (e[1:] != e[:-1]))])
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
+    size = np.diff(np.append(np.flatnonzero(head), n))
+    tied = order[np.repeat(size, size) > 1]
     k = 7
-    while rank[order[-1]] < n - 1:
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1 if k < n else 0
-        pair = rank * (n + 1) + second
-        order = np.argsort(pair, kind="stable")
-        p = pair[order]
-        rank[order] = np.concatenate([[0], np.cumsum(p[1:] != p[:-1])])
+    while len(tied):  # twice as many letters decide in each round, for suffixes not yet told apart
+        second = np.where(left[tied] < k, text[tied], m + rank[np.minimum(tied + k, n - 1)])
+        pair = rank[tied] * (n + m + 1) + second
+        by_pair = np.argsort(pair)
+        tied, pair = tied[by_pair], pair[by_pair]
+        old = rank[tied]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        i = np.arange(len(tied))
+        rank[tied] = old + np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
+        size = np.diff(np.append(np.flatnonzero(new), len(tied)))
+        tied = tied[np.repeat(size, size) > 1]
         k *= 2
-    symbol = np.where(code > 0, code + m, text)
-    return order, rank, symbol, text, offset
+    order[rank] = at
+    return order, rank, np.where(code > 0, code + m, text), text, at - begins[text], left
 
 
-def repeated_positions(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, offset) of all windows of `length` bytes that start more than once in texts, by breadth-first
-    backward extension of suffix-order boundaries on the Burrows-Wheeler transform."""
-    order, rank, symbol, text, offset = suffix_order(texts)
+def repeated_positions(texts: list[bytes], length: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, offset) of all windows of `length` bytes that start more than once in texts (a text of weight w counts w
+    times), by breadth-first backward extension of suffix-order boundaries on the Burrows-Wheeler transform."""
+    order, rank, symbol, text, offset, left = suffix_order(texts)
     n = len(order)
     before = symbol[order - 1]  # the transform; the first suffix takes the last end mark
     back = rank[order - 1]  # where the suffix with one more letter in front lies
     by_letter = np.argsort(before, kind="stable")
     same = before[by_letter[1:]] == before[by_letter[:-1]]
-    x, y = by_letter[:-1][same], by_letter[1:][same]  # neighbours with the same letter in front
-    sorted_x = np.argsort(x, kind="stable")
-    x, y = x[sorted_x].astype(np.int32), y[sorted_x].astype(np.int32)
+    x, y = by_letter[:-1][same].astype(np.int32), by_letter[1:][same].astype(np.int32)  # nearest with the same letter in front
     target = (back[x] + 1).astype(np.int32)  # the boundary that parts x and y once both are extended
+    close = y == x + 1
+    beside = np.zeros(n + 1, np.int32)  # targets of neighbours, by the boundary between them; 0 where there is none
+    beside[y[close]] = target[close]
+    x, y, target = x[~close], y[~close], target[~close]
     bound = np.zeros(n + 1, bool)
     first = symbol[order]
     bound[1:n] = first[1:] != first[:-1]
     bound[0] = bound[n] = True
+    new = np.flatnonzero(bound)
     for _ in range(1, length):
-        count = np.cumsum(bound, dtype=np.int32)
-        parted = count[y] != count[x]
-        if not parted.any():
+        place = np.searchsorted(new, x, "right")
+        parted = (place < len(new)) & (new[np.minimum(place, len(new) - 1)] <= y)
+        found = np.concatenate([beside[new], target[parted]])
+        found = found[~bound[found]]
+        if not len(found):
             break
-        bound[target[parted]] = True
-        left = ~parted
-        x, y, target = x[left], y[left], target[left]
-    p = target  # not parted below `length`
-    found = np.unique(np.concatenate([order[p - 1], order[p]])) if len(p) else np.zeros(0, np.int64)
+        bound[found] = True
+        new = np.sort(found)
+        x, y, target = x[~parted], y[~parted], target[~parted]
+    interval = np.cumsum(bound[:n]) - 1
+    mass = np.bincount(interval, None if weights is None else np.minimum(weights, 2)[text[order]])
+    found = np.sort(order[(mass[interval] > 1) & (left[order] >= length)])
     return text[found], offset[found]
 
 
@@ -189,117 +205,153 @@ def _ranges(sorted_points: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi, strict=True)]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id and `spans`, the sorted maximal byte ranges (lo, hi) to remove, for documents that have any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _raw(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "replace")
+
+
+ONE = ["key", "mark", "size"]  # what names a class
+CLASS = "key long, mark long, size int, n long"
+
+
+def _class_batch(rows: list[tuple], *more: tuple[str, pa.DataType]) -> pa.RecordBatch:
+    kinds = [("key", pa.int64()), ("mark", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), *more]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[name for name, _ in kinds])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, starts, ends in _blocks(batches):
-            doc, at, size, key, mark = runs_of(data, starts, ends, length, gram)
-            if len(doc):
-                columns = [pa.array(key), pa.array(mark), pa.array(size.astype(np.int32)), pa.array(np.array(ids, np.int64)[doc]), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "mark", "size", "doc_id", "at"])
 
-    one = ["key", "mark", "size"]
-    runs = staged(docs.mapInArrow(scan, "key long, mark long, size int, doc_id long, at int"), "runs")
-    classes = runs.groupBy(*one).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"))
-    classes = classes.withColumn("classes", F.count("*").over(Window.partitionBy("key"))).where("n > 1 OR classes > 1")
-    classes = staged(classes.select(*one, "n", "rep.doc_id", "rep.at", "classes"), "run-classes")
+def _with_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """text and the list `wanted` of classes that one document stands for; no longer than the document."""
+    wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*ONE, "n", "at")).alias("wanted"))
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])
+    return docs.join(wanted, same).select("text", "wanted", wanted["doc_id"], wanted["text_hash"])
 
-    # texts of the classes that share a key with others
-    fetch = F.struct(*one, "n", "at", (F.col("classes") > MANY).alias("many"))
-    wanted = classes.where("classes > 1").groupBy("doc_id").agg(F.collect_list(fetch).alias("wanted"))
+
+def _decided(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """Classes with `spans`, the ranges of their windows that repeat. classes: key, mark, size, n (weight) and the place
+    (doc_id, text_hash, at) of one text each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, rows in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "replace")
-                for r in rows.as_py():
-                    a, b = r["at"], r["at"] + r["size"] + length - 1
-                    if r["many"]:
-                        out += [(r["key"], r["mark"], r["size"], r["n"], hashlib.blake2b(raw[i : i + length], digest_size=16).digest(), i - a) for i in range(a, a + r["size"])]
-                    else:
-                        out.append((r["key"], r["mark"], r["size"], r["n"], raw[a:b], -1))
-                    if len(out) >= 20000:
-                        yield _batch(out)
-                        out = []
+                raw = _raw(text)
+                out += [(r["key"], r["mark"], r["size"], r["n"], raw[r["at"] : r["at"] + r["size"] + length - 1]) for r in rows.as_py()]
+                if len(out) >= 5000:
+                    yield _class_batch(out, ("raw", pa.binary()))
+                    out = []
             if out:
-                yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "mark", "size", "n", "raw", "window"])
-
-    got = staged(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(cut, "key long, mark long, size int, n long, raw binary, window int").distinct(), "run-texts")
+                yield _class_batch(out, ("raw", pa.binary()))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        weight = 0
-
         def settled(rows: list[tuple]) -> pa.RecordBatch:
-            which, where = repeated_positions([r[3] for r in rows], length)
+            which, where = repeated_positions([r[4] for r in rows], length, np.array([r[3] for r in rows]))
             edge = np.searchsorted(which, np.arange(len(rows) + 1))
-            spans = [_ranges(where[edge[i] : edge[i + 1]]) for i in range(len(rows))]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], spans]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "mark", "size", "spans"])
+            return _class_batch([(*r[:4], _ranges(where[edge[i] : edge[i + 1]])) for i, r in enumerate(rows)], ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))))
 
+        held: dict[tuple, tuple] = {}
+        weight, last = 0, None
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if weight >= BLOCK and row[0] != held[-1][0]:  # whole keys only
-                    yield settled(held)
-                    held, weight = [], 0
-                held.append(row)
-                weight += len(row[3]) + 1
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if weight >= BLOCK and row[0] != last:  # whole keys only
+                    yield settled(list(held.values()))
+                    held, weight = {}, 0
+                last = row[0]
+                if row[:3] not in held:
+                    held[row[:3]] = row
+                    weight += len(row[4]) + 1
         if held:
-            yield settled(held)
-
-    block = got.where("window < 0").select(*one, "raw").repartition("key").sortWithinPartitions("key", "mark")
-    by_block = block.mapInArrow(decide, f"key long, mark long, size int, spans {WHERE}").where(F.size("spans") > 0)
-    single = got.where("window >= 0")
-    twice = single.groupBy("raw").agg(F.sum("n").alias("copies")).where("copies > 1").select("raw")
-    point = F.struct(F.col("window").alias("lo"), (F.col("window") + 1).alias("hi"))
-    by_window = single.join(twice, "raw").groupBy(*one).agg(F.array_sort(F.collect_list(point)).alias("spans"))
-    alone = classes.where("n = 1 AND classes > 1").select(*one, "doc_id", "at").join(by_block.unionByName(by_window), one)
-    copied = runs.join(classes.where("n > 1").select(*one), one).select("doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("size") + length - 1).alias("hi"))
-    moved = alone.select("doc_id", "at", F.explode("spans").alias("s")).select("doc_id", (F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi") + length - 1).alias("hi"))
-    parts = copied.unionByName(moved).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
+            yield settled(list(held.values()))
+
+    texts = _with_texts(docs, classes).select("text", "wanted").mapInArrow(cut, f"{CLASS}, raw binary")
+    return texts.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(decide, f"{CLASS}, spans {WHERE}").where(F.size("spans") > 0)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, text_hash (that of xxhash64) and `spans`, the sorted maximal byte ranges (lo, hi) to remove, for the texts that have any."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, starts, ends in _blocks(batches):
+            doc, at, size, key, mark = runs_of(data, starts, ends, length, gram)
+            if len(doc):
+                own = pa.array(doc)
+                columns = [pa.array(key), pa.array(mark), pa.array(size.astype(np.int32)), *[pa.array([x[i] for x in ids], pa.int64()).take(own) for i in (0, 1)], pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ONE, "doc_id", "text_hash", "at"])
+
+    place = ["doc_id", "text_hash", "at"]
+    runs = staged(docs.mapInArrow(scan, "key long, mark long, size int, doc_id long, text_hash long, at int"), "runs")
+    shared = runs.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
+    runs = staged(runs.join(shared, "key"), "shared-runs", done=(runs,))
+    # any row with the least hash has the same text, so doc_id and at need not be of one row
+    one_of = [F.min_by(c, "text_hash").alias(c) for c in ("doc_id", "at")]
+    classes = staged(runs.groupBy(*ONE).agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"), *one_of), "classes")
+    heavy = classes.groupBy("key").agg(F.sum(F.col("size").cast("long") + length).alias("bytes")).where(F.col("bytes") > hot).select("key")
+    heavy = staged(heavy, "hot-keys")
+    found = _decided(docs, classes.join(heavy, "key", "left_anti"), length)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = [("k1", pa.int64()), ("k2", pa.int64()), ("window", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())]
+        for batch in batches:
+            for text, rows, doc_id, text_hash in zip(batch.column(0), batch.column(1), *[batch.column(i).to_pylist() for i in (2, 3)], strict=True):
+                raw, out = _raw(text), []
+                for r in rows.as_py():
+                    for i in range(r["size"]):
+                        a = r["at"] + i
+                        k1, k2 = np.frombuffer(hashlib.blake2b(raw[a : a + length], digest_size=16).digest(), np.int64).tolist()
+                        out.append((r["key"], r["mark"], r["size"], r["n"], k1, k2, i, doc_id, text_hash, a))
+                    if len(out) >= 20000:
+                        yield _class_batch(out, *more)
+                        out = []
+                if out:
+                    yield _class_batch(out, *more)
+
+    done = [heavy]
+    if heavy.head(1):
+        single = staged(_with_texts(docs, classes.join(heavy, "key")).mapInArrow(windows, f"{CLASS}, k1 long, k2 long, window int, doc_id long, text_hash long, at int"), "windows")
+        again = single.groupBy(F.col("k1").alias("key"), F.col("k2").alias("mark"), F.lit(1).alias("size")).agg(F.sum("n").alias("n"), F.min("text_hash").alias("text_hash"), *one_of).where("n > 1")
+        twice = _decided(docs, staged(again, "window-classes"), length).select(F.col("key").alias("k1"), F.col("mark").alias("k2"))
+        point = F.struct(F.col("window").alias("lo"), (F.col("window") + 1).alias("hi"))
+        found = found.unionByName(single.join(twice, ["k1", "k2"]).groupBy(*ONE, "n").agg(F.array_sort(F.collect_set(point)).alias("spans")))
+        done.append(single)
+    found = staged(found, "repeats", done=tuple(done))
+    alone = classes.join(found.where("n = 1").drop("n"), ONE).select(*place, "spans")
+    copied = runs.join(found.where("n > 1").drop("n"), ONE).select(*place, "spans")
+    each = alone.unionByName(copied).select(*place, F.explode("spans").alias("s"))
+    each = each.select("doc_id", "text_hash", F.struct((F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi") + length - 1).alias("hi")).alias("part"))
+    parts = each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("part")).alias("parts"))
     merged = F.aggregate(
         "parts",
         F.array().cast(WHERE),
         lambda a, p: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["hi"] >= p["lo"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["lo"].alias("lo"), F.greatest(F.get(a, F.size(a) - 1)["hi"], p["hi"]).alias("hi"))))).otherwise(F.concat(a, F.array(p))),
     )
-    return parts.select("doc_id", merged.alias("spans"))
+    return staged(parts.select("doc_id", "text_hash", merged.alias("spans")), "spans", done=(runs, classes, found))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with each text less its repeated strings; letters of which only some bytes are covered stay whole."""
-    spans = repeats(docs, length)
-    order = docs.columns
+def _spanned(docs: DataFrame, length: int, text_hash: str, spans: str) -> DataFrame:
+    """docs with the columns `text_hash` and `spans` (null where nothing repeats)."""
+    found = repeats(docs, length)
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = hashed["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (hashed[text_hash] == found["text_hash"])
+    return hashed.join(found, same, "left").select(*[hashed[c] for c in hashed.columns], found["spans"].alias(spans))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode("utf-8", "replace")
-                keep, at = [], 0
-                for s in found.as_py():
-                    lo, hi = s["lo"], s["hi"]
-                    while lo < hi and raw[lo] & 0xC0 == 0x80:
-                        lo += 1
-                    while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                        hi -= 1
-                    keep.append(raw[at:lo])
-                    at = hi
-                out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "_new"])
-
-    new = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(spans, "doc_id").mapInArrow(cut, "doc_id long, _new string")
-    df = docs.join(staged(new.dropDuplicates(["doc_id"]), "shortened"), "doc_id", "left").withColumn("text", F.coalesce("_new", "text"))
-    if "n_chars" in order:
-        df = df.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return df.select(*order)
+
+def _remaining(text: Column, spans: Column) -> Column:
+    """text less its spans; letters of which only some bytes are covered stay whole."""
+    raw = text.cast("binary")
+    inside = lambda i: F.substring(raw, i + 1, F.lit(1)).between(F.lit(bytearray(b"\x80")), F.lit(bytearray(b"\xbf")))
+    moved = lambda i, by: i + F.when(~inside(i), 0).when(~inside(i + by), by).when(~inside(i + 2 * by), 2 * by).otherwise(3 * by)
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: moved(s["hi"], -1)))
+    ends = F.concat(F.transform(spans, lambda s: moved(s["lo"], 1)), F.array(F.octet_length(text)))
+    return F.array_join(F.zip_with(starts, ends, lambda a, z: F.substring(raw, a + 1, F.greatest(z - a, F.lit(0))).cast("string")), "")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with each text less its repeated strings; n_chars, where it is a column, follows."""
+    text_hash, spans = fresh(docs, "text_hash", "spans")
+    df = _spanned(docs, length, text_hash, spans)
+    df = df.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(_remaining(F.col("text"), F.col(spans))))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return df.select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -309,13 +361,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    df = docs.join(repeats(docs), "doc_id", "left")
+    df = _spanned(docs, LENGTH, "text_hash", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "replace")
+                raw = _raw(text)
                 h, at, gone, spans = hashlib.sha256(), 0, 0, found.as_py() or []
                 for s in spans:
                     h.update(raw[at : s["lo"]])

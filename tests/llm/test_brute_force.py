@@ -35,17 +35,76 @@ def repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("many", [2000, 10])
-def test_suffix_dedup(spark, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    rng = random.Random(3)
+def repetitive(seed, n):
+    rng = random.Random(seed)
     base = ["".join(rng.choice("ab cé") for _ in range(900)) for _ in range(4)]
-    texts = ["".join((b := rng.choice(base))[(a := rng.randint(0, 500)) : a + rng.randint(100, 420)] for _ in range(rng.randint(0, 4))) for _ in range(60)] + TRICKY
-    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeats(documents(spark, texts, True)).collect()}
+    return ["".join((b := rng.choice(base))[(a := rng.randint(0, 500)) : a + rng.randint(100, 420)] for _ in range(rng.randint(0, 4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot", [1 << 21, 2000])
+def test_suffix_dedup(spark, hot):
+    """The second case deals most keys anew by window."""
+    texts = repetitive(3, 60) + TRICKY
+    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeats(documents(spark, texts, True), hot=hot).collect()}
     found = [(sum(s["hi"] - s["lo"] for s in got.get(i, [])), len(got.get(i, []))) for i in range(len(texts))]
     assert found == repeats([(t or "").encode() for t in texts], 200)
 
 
+def test_suffix_intervals():
+    """The transform against a count of all windows, with weights."""
+    rng = random.Random(1)
+    for _ in range(60):
+        base = [bytes(rng.choice(b"ab c") for _ in range(rng.choice([20, 100, 400]))) for _ in range(3)]
+        texts = [b"".join((b := rng.choice(base))[(a := rng.randint(0, len(b))) : a + rng.randint(0, 300)] for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 12))]
+        weights, length = np.array([rng.choice([1, 1, 1, 3]) for _ in texts]), rng.choice([2, 5, 20, 200])
+        count = collections.Counter()
+        for t, w in zip(texts, weights.tolist(), strict=True):
+            for i in range(len(t) - length + 1):
+                count[t[i : i + length]] += w
+        want = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1]
+        assert list(zip(*[x.tolist() for x in suffix_dedup.repeated_positions(texts, length, weights)], strict=True)) == want
+
+
+def test_suffix_stage(spark):
+    """Rows that share a doc_id or have none are cut each by its own text; clashing names and letters cut in part stay."""
+    passage = "é" * 7 + "".join(random.Random(6).choice("xyzé ") for _ in range(300))
+    texts = ["A" + passage + "tail", "ü" + passage + "äend", "B different text here", None, "", "A" + passage + "tail"]
+    ids = [1, 1, 1, None, 5, None]
+    docs = spark.createDataFrame([(i, t, 0, "s", None if t is None else len(t), k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, _new int, spans string, n_chars long, text_hash int")
+    got = suffix_dedup.remove_repeats(spark, docs)
+    assert got.columns == docs.columns
+    rows = {r["text_hash"]: r for r in got.collect()}
+    want = []
+    raws = [(t or "").encode() for t in texts]
+    count = collections.Counter(t[i : i + 200] for t in raws for i in range(len(t) - 199))
+    for raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 199):
+            if count[raw[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        letters, at = [], 0
+        for c in raw.decode():
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                letters.append(c)
+            at += n
+        want.append("".join(letters))
+    assert [rows[k]["text"] for k in range(6)] == [*want[:3], None, *want[4:]]
+    assert all(rows[k]["n_chars"] == len(rows[k]["text"]) for k in (0, 1, 2, 5)) and rows[0]["_new"] == 0
+
+
+def test_suffix_query(spark, tmp_path):
+    texts = [*repetitive(8, 40), *TRICKY]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    raws = [(t or "").encode() for t in texts]
+    count = collections.Counter(t[i : i + 200] for t in raws for i in range(len(t) - 199))
+    rows = {r["doc_id"]: r for r in suffix_dedup.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    for k, (raw, (removed, spans)) in enumerate(zip(raws, repeats(raws, 200), strict=True)):
+        gone = {j for i in range(len(raw) - 199) if count[raw[i : i + 200]] > 1 for j in range(i, i + 200)}
+        kept = hashlib.sha256(bytes(c for j, c in enumerate(raw) if j not in gone)).hexdigest()
+        assert (rows[k]["n_bytes"], rows[k]["n_removed"], rows[k]["n_spans"], rows[k]["kept_sha256"]) == (len(raw), removed, spans, kept)
+
+
 def shingle_sets(texts, k):
     out = []
     for t in texts:
