@@ -279,8 +279,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     place = ["doc_id", "text_hash", "at"]
     runs = staged(docs.mapInArrow(scan, "key long, mark long, size int, doc_id long, text_hash long, at int"), "runs")
-    shared = runs.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
-    runs = staged(runs.join(shared, "key"), "shared-runs", done=(runs,))
+    shared = staged(runs.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key"), "shared-keys")
+    runs = staged(runs.join(shared, "key"), "shared-runs", done=(runs, shared))
     # any row with the least hash has the same text, so doc_id and at need not be of one row
     one_of = [F.min_by(c, "text_hash").alias(c) for c in ("doc_id", "at")]
     classes = staged(runs.groupBy(*ONE).agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"), *one_of), "classes")
