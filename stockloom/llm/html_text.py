@@ -3,9 +3,11 @@
 A page is cut into text blocks at block-level tags, with recovery from unclosed ones. A logistic classifier on a
 block's own features (ancestors, class and id words, link density, length, punctuation) gives each block the cost of
 either label; these are its terminal capacities. Neighbouring blocks, and more so those close in the DOM, are tied by
-smoothness edges. The minimum cut, found by augmenting paths, separates content from boilerplate. Parts that hold no
-running text of the page whatever their neighbours (scripts, styles, forms, navigation) are tied to the
-boilerplate terminal.
+smoothness edges, as are those that follow each other in one parent with others between. The minimum cut, found by
+augmenting paths, separates content from boilerplate, and nothing but the cut decides: lists of words and tags only
+enter the costs. There are no labelled pages to fit the weights to; they are parameters.
+
+A form that holds more than half of a page's text wraps the page and does not count as one. Scripts, styles and the like have no text.
 
 Defined cases: null html is empty; a page without content has the empty text and n_chars 0; pages of any length and
 depth; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -35,21 +37,21 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements that an opening tag of the key closes when they are open without a wall between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "nav", "aside", "main", "header", "footer", "form"}
-#: Ancestors whose text is never main text.
-NEVER = {"nav", "form", "button", "footer", "aside", "menu", "dialog"}
+#: Ancestors whose text is hardly ever main text.
+NEVER = {"nav", "button", "footer", "aside", "menu", "dialog"}
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|nav\w*|menu\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notices?|alerts?|popup\w*|modal\w*|"
-    r"comments?|replies|reply|respond|disqus|social|share\w*|sharing|related|recommend\w*|breadcrumbs?|pagination|pager|newsletter|subscribe\w*|signup|login|widgets?|toolbar|skip\w*|tags|outbrain|taboola)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|nav\w*|menu\w*|footer\w*|masthead|cookies?|consent|gdpr|popup\w*|modal\w*|"
+    r"comments?|replies|reply|respond|disqus|share\w*|sharing|related|recommend\w*|breadcrumbs?|pagination|pager|newsletter|subscribe\w*|signup|login|widgets?|toolbar|skip\w*|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+WEAK_HINT = re.compile(r"(?:^|[\s_-])(?:header|notices?|alerts?|social|tags)(?=$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|story|entry|content|main|body|text)(?=$|[\s_-])", re.I)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-HARD = 1e6
-#: Weights of the classifier: intercept, in article or main, good hint, bad hint, never, link density, log length, sentence end, heading, table or list.
-WEIGHTS = (-0.6, 3.0, 1.0, -6.0, -12.0, -3.5, 0.55, 0.5, 0.5, -0.2)
-#: Smoothness between neighbours, and its part for one more common ancestor.
-ADJACENT, PROXIMITY, MOST_PROXIMITY = 0.35, 0.1, 0.6
+#: Weights of the classifier: intercept, in article or main, good hint, bad hint, weak hint, hardly ever, in a form, link density, log length, sentence end, heading, table or list.
+WEIGHTS = (-0.6, 3.0, 1.0, -9.0, -2.0, -12.0, -9.0, -3.5, 0.55, 0.5, 0.5, -0.2)
+#: Smoothness between neighbours, its part for one more common ancestor, and that between the next ones in one parent.
+ADJACENT, PROXIMITY, MOST_PROXIMITY, SIBLING = 0.35, 0.1, 0.6, 0.2
 
 
 class Block:
@@ -59,11 +61,13 @@ class Block:
         self.text, self.path, self.links, self.feature = text, path, links, feature
 
 
-def _verdict(name: str, attributes: str, inside: tuple) -> tuple[bool, bool, bool, bool]:
-    """(in article, good, bad, never) of an element, given its parent's."""
-    article, good, bad, never = inside
+def _verdict(name: str, attributes: str, inside: tuple, number: int) -> tuple[bool, bool, bool, bool, bool, int]:
+    """(in article, good, bad, weak, never, number of the form) of an element, given its parent's."""
+    article, good, bad, weak, never, form = inside
     if name in ("article", "main"):
-        article = True
+        article, form = True, 0
+    elif name == "form":
+        form = number
     never = never or name in NEVER or (name == "header" and not article)
     if attributes:
         for m in ATTR.finditer(attributes):
@@ -71,19 +75,21 @@ def _verdict(name: str, attributes: str, inside: tuple) -> tuple[bool, bool, boo
             if key in ("class", "id"):
                 if HINT.search(value) and name not in ("body", "html", "article", "main"):
                     bad = True
+                elif WEAK_HINT.search(value) and name not in ("body", "html", "article", "main"):
+                    weak = True
                 elif GOOD.search(value):
                     good = True
             elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 never = True
             elif key == "role" and value.lower() in ("main", "article"):
                 article = True
-    return article, good, bad, never
+    return article, good, bad, weak, never, form
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple, int]] = [("", (False, False, False, False), 0)]  # name, verdict, number
+    stack: list[tuple[str, tuple, int]] = [("", (False, False, False, False, False, 0), 0)]  # name, verdict, number
     number, at, anchor = 0, 0, 0
     parts: list[str] = []
     linked = 0
@@ -154,18 +160,24 @@ def blocks(page: str) -> list[Block]:
                 elif stack[i][0] in WALLS:
                     break
             number += 1
-            stack.append((name, _verdict(name, m[3], stack[-1][1]), number))
+            stack.append((name, _verdict(name, m[3], stack[-1][1], number), number))
         elif name == "img" or name in VOID:
             continue
     flush()
+    size: dict[int, int] = {}
+    for b in out:
+        size[b.feature[5]] = size.get(b.feature[5], 0) + len(b.text)
+    for b in out:
+        form = b.feature[5]
+        b.feature = (*b.feature[:5], bool(form) and 2 * size[form] <= sum(size.values()), b.feature[6])
     return out
 
 
 def content_score(block: Block) -> float:
     """Log odds that a block is content."""
-    article, good, bad, never, name = block.feature
+    article, good, bad, weak, never, form, name = block.feature
     n = len(block.text)
-    x = (1, article, good, bad, never, block.links / n, math.log1p(n / 20), block.text[-1] in ".!?…:;\"'»”", name in ("h1", "h2", "h3"), name in ("td", "th", "li"))
+    x = (1, article, good, bad, weak, never, form, block.links / n, math.log1p(n / 20), block.text[-1] in ".!?…:;\"'»”", name in ("h1", "h2", "h3"), name in ("td", "th", "li"))
     return sum(w * v for w, v in zip(WEIGHTS, x, strict=True))
 
 
@@ -213,30 +225,30 @@ def labels(found: list[Block]) -> list[bool]:
     groups: list[list[int]] = []
     for i, b in enumerate(found):
         p = found[groups[-1][0]] if groups else None
-        if p is not None and p.feature[:4] == b.feature[:4] and p.path[:-1] == b.path[:-1]:
+        if p is not None and p.feature[:6] == b.feature[:6] and p.path[:-1] == b.path[:-1]:
             groups[-1].append(i)
         else:
             groups.append([i])
-    content, boilerplate = [], []
-    for g in groups:
-        score = sum(content_score(found[i]) for i in g)
-        if found[g[0]].feature[3]:
-            score = -HARD
-        content.append(max(score, 0.0))
-        boilerplate.append(max(-score, 0.0))
+    scores = [sum(content_score(found[i]) for i in g) for g in groups]
     edges = []
-    for i in range(len(groups) - 1):
-        a, b = found[groups[i][-1]], found[groups[i + 1][0]]
-        common = 0
-        for x, y in zip(a.path, b.path, strict=False):
-            if x != y:
-                break
-            common += 1
-        edges.append((i, i + 1, ADJACENT + min(MOST_PROXIMITY, PROXIMITY * common)))
+    last: dict[tuple, int] = {}
+    for i, g in enumerate(groups):
+        if i:
+            a, b = found[groups[i - 1][-1]], found[g[0]]
+            common = 0
+            for x, y in zip(a.path, b.path, strict=False):
+                if x != y:
+                    break
+                common += 1
+            edges.append((i - 1, i, ADJACENT + min(MOST_PROXIMITY, PROXIMITY * common)))
+        parent = found[g[0]].path[:-1]
+        if last.get(parent, i - 1) < i - 1:
+            edges.append((last[parent], i, SIBLING))
+        last[parent] = i
     out = [False] * len(found)
-    for g, good in zip(groups, minimum_cut(content, boilerplate, edges), strict=True):
+    for g, good in zip(groups, minimum_cut([max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], edges), strict=True):
         for i in g:
-            out[i] = good and not (found[i].feature[2] and not found[i].feature[1])
+            out[i] = good
     return out
 
 

@@ -1,11 +1,14 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates.
 
-Values are found by pattern and validated: IPv4 octets and calendar dates must be in range, card numbers are
-told by the Luhn sum. Each is replaced by a keyed permutation of its own format: an alternating Feistel network
+Values are found by pattern and validated: IPv4 octets and calendar dates must be in range, card numbers must have
+the Luhn sum, social security numbers an area, group and serial that can be issued; what fails is left alone. Each is replaced by a keyed permutation of its own format: an alternating Feistel network
 over the decimal digits (over 32 bits for addresses; over day numbers with cycle walking for dates), so equal
 values stay linked across documents while layout and validity stay. Mail addresses, which are not numbers, get a
 keyed digest as their name. Only DataFrame functions are used, row by row: nothing is shuffled.
 
+Whoever has the key can undo the permutation. The queries take it from the session's setting KEY_SETTING; where that is unset,
+as in tests, a public one is used, which protects nothing.
+
 Defined cases: null text stays null; texts without such values are unchanged; repeated rows give equal rows;
 an empty table gives an empty result; all other columns pass through `pseudonymised` untouched.
 """
@@ -15,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm._shared import table
+from stockloom.llm._shared import fresh, table
 
-KEY = "stockloom-pseudonyms-1"
+KEY_SETTING = "spark.stockloom.pseudonyms.key"
+KEY = "public-test-key"
 ROUNDS = 8
 MAIL = r"(?<![\w.+-])[\w.+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+"
 ADDRESS = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
@@ -84,13 +88,24 @@ def _number(m: Column, key: str, tag: str) -> Column:
     return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _refilled(m, permuted_digits(d, key, tag)))
 
 
+def _social(m: Column, key: str) -> Column:
+    """Cycle walking keeps to the numbers that can be issued."""
+    sound = lambda d: d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$")
+
+    def body(d: Column) -> Column:
+        walked = F.aggregate(F.sequence(F.lit(0), F.lit(200)), d, lambda v, i: F.when((i > 0) & sound(v), v).otherwise(permuted_digits(v, key, "social")))
+        return F.when(sound(d), _refilled(m, walked)).otherwise(m)
+
+    return _let(F.regexp_replace(m, "[^0-9]", ""), body)
+
+
 def _card(m: Column, key: str) -> Column:
     def body(d: Column) -> Column:
         n = F.length(d)
         head = F.substring(d, F.lit(1), n - 1)
         valid = _luhn_digit(head) == F.substring(d, n, F.lit(1))
         kept = _let(permuted_digits(head, key, "luhn"), lambda h: F.concat(h, _luhn_digit(h)))
-        return _refilled(m, F.when(valid, kept).otherwise(permuted_digits(d, key, "card")))
+        return F.when(valid, _refilled(m, kept)).otherwise(m)
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), body)
 
@@ -145,12 +160,14 @@ def _kind(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     return (
         F.when(kind == "mail", _mail(m, key)).when(kind == "address", _address(m, key)).when(kind == "date", _date(m, key))
-        .when(kind == "social", _number(m, key, "social")).when(kind == "card", _card(m, key)).when(kind == "phone", _number(m, key, "phone")).otherwise(m)
+        .when(kind == "social", _social(m, key)).when(kind == "card", _card(m, key)).when(kind == "phone", _number(m, key, "phone")).otherwise(m)
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", found: str = "_found") -> DataFrame:
-    """docs with text replaced, and with the array `found` of (kind, value, pseudonym)."""
+def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", found: str = "found") -> DataFrame:
+    """docs with text replaced, and with one more column, the array `found` of (kind, value, pseudonym)."""
+    if found in docs.columns:
+        raise ValueError(f"docs has a column {found}")
     t = F.col(text)
     matches = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(_kind(m).alias("kind"), m.alias("value")))
     matches = F.transform(matches, lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key).alias("pseudonym")))
@@ -159,15 +176,20 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", found: st
     return df.withColumn(text, F.when(F.col(found).isNull(), t).otherwise(new))
 
 
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or KEY
+
+
 def pseudonymise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: docs with pseudonyms in their texts; n_chars, where it is a column, follows."""
-    df = pseudonymised(docs)
+    (found,) = fresh(docs, "found")
+    df = pseudonymised(docs, key_of(spark), found=found)
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    changed = lambda k: F.size(F.filter(F.coalesce("_found", F.array().cast(df.schema["_found"].dataType)), lambda s: (s["kind"] == k) & (s["value"] != s["pseudonym"]))).cast("long")
+    df = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
+    changed = lambda k: F.size(F.filter(F.coalesce("found", F.array().cast(df.schema["found"].dataType)), lambda s: (s["kind"] == k) & (s["value"] != s["pseudonym"]))).cast("long")
     return df.select("doc_id", "text", *[changed(k).alias(f"n_{k}") for k in PATTERNS])

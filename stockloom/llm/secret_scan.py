@@ -2,15 +2,14 @@
 
 Three base kinds are found by pattern in every whole text. Besides, long mixed tokens are candidates: the
 hashes of all candidate values are counted over the corpus by distinct repositories and owners. A value that
-several owners share is a copied example; a mixed token of few owners looks live and becomes a span of its
-own (kind `token`) unless a base span overlaps it. Only DataFrame functions are used.
+EXAMPLE_OWNERS owners share, or that stands in EXAMPLE_REPOSITORIES repositories, is a copied example; a mixed token of
+fewer looks live and becomes a span of its own (kind `token`) unless a base span overlaps it. Only DataFrame functions are used.
 
 Counting goes by (value, owner, repository) first, so a value copied everywhere is combined before the
 shuffle, and what is joined back has one row a value.
 
 Defined cases: null text is empty (no spans, the digest of the empty string); null owner or repository
-counts as one more owner or repository; rows that repeat a doc_id with the same text give equal rows;
-an empty table gives an empty result; other columns are ignored.
+counts as one more owner or repository; verdicts go by value, so rows that repeat a doc_id, or have none, are told each by its own text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ HEX = r"[0-9a-f]{24,}+"
 TOKEN = r"[A-Za-z0-9+/_-]{28,}+"
 #: From so many distinct owners a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+#: And from so many distinct repositories, whoever owns them.
+EXAMPLE_REPOSITORIES = 8
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -89,21 +90,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("n_found"))
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """doc_id, base (array of spans), added (array of spans), n_live and n_examples (occurrences by verdict)."""
-    found = staged(candidates(docs, owner, repository), "secrets")
-    shared = staged(ownership(found).where(F.col("n_owners") >= example_owners).select("value"), "secret-examples")
-    each = found.select("doc_id", F.explode(F.concat("base", "token")).alias("s")).distinct()
+    found = staged(candidates(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    shared = staged(ownership(found).where(example).select("value"), "secret-examples")
+    each = found.select("row", F.explode(F.concat("base", "token")).alias("s"))
     each = each.withColumn("value", F.sha2(F.col("s.value"), 256)).join(shared.withColumn("example", F.lit(True)), "value", "left")
     live = F.col("example").isNull()
-    per = each.groupBy("doc_id").agg(
+    per = each.groupBy("row").agg(
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_examples"),
         F.collect_list(F.when(live & (F.col("s.kind") == 3), F.col("s"))).alias("added"),
     )
     none = F.array().cast(found.schema["token"].dataType)
     zero = F.lit(0).cast("long")
-    return found.select("doc_id", "base").join(per, "doc_id", "left").select(
+    return found.select("row", "doc_id", "base").join(per, "row", "left").select(
         "doc_id", "base", F.coalesce("added", none).alias("added"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_examples", zero).alias("n_examples")
     )
 

@@ -8,7 +8,7 @@ driver; all documents are scored in full by one pass without a shuffle.
 Grades from the labels: 0 not toxic, 1 toxic but of good quality, 2 toxic and of poor quality.
 
 Defined cases: null text is empty (no features: the baseline); labels that are null or without a document are not
-used; without labelled rows, every severity is 0; repeated rows give equal rows; an empty table gives an empty
+used; without labelled rows, every severity is 0; repeated rows give equal rows, and repeated labels count once; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -79,18 +79,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, buck
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, grade) of at most `sample` labelled documents."""
+    """(doc_id, grade, text) of at most `sample` labelled documents; of rows that share a doc_id, the least text counts."""
     grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 1), 1).when(F.col("toxic") == 1, 2)
-    chosen = labels.select("doc_id", grade.alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL")
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("grade IS NOT NULL AND doc_id IS NOT NULL")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.distinct()), "doc_id")  # at most `sample` rows of two numbers
+    return found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t or "").astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
+            found = [features(t or "").astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
 
     rows = labelled(docs, labels, sample).mapInArrow(run, "doc_id long, grade int, features binary").toPandas()
     rows = rows.sort_values(["doc_id", "grade"])
