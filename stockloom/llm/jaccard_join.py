@@ -46,7 +46,7 @@ BLOCK = 1 << 20
 #: Regions of more nodes than this skip the windows of sizes and counts: all their nodes meet with whole sets.
 GROUP = 4096
 #: Shingles of a region that one task holds, about.
-LIMIT = 1 << 20
+LIMIT = 1 << 21
 #: Pivot documents of a division, and the number of nodes below which none is made.
 PIVOTS = 8
 SMALL = 128
@@ -401,8 +401,11 @@ def _large_regions(large: DataFrame, held: DataFrame, percent: int, limit: int)
     most = place.groupBy("cell", "component").agg(F.count("*").alias("size")).groupBy("cell").agg(F.max_by("component", F.struct("size", "component")).alias("most"))
     place = place.join(most, "cell").withColumn("loose", F.col("component") != F.col("most")).withColumn("home", F.array_position("away", F.array_min("away")).cast("int")).drop("most")
     place = kept = staged(place, "places", done=(joined,))
-    loads = place.groupBy("cell", "loose", "home").agg(F.ceil(F.sum("n") / limit).cast("int").alias("salts"))
-    place = place.join(loads, ["cell", "loose", "home"]).withColumn("part", F.struct("loose", "home", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("salts")).cast("int").alias("salt"))).drop("salts", "home")
+    # cells that fit share a part with their neighbours, up to about `limit`; a larger one is cut by hash
+    loads = place.groupBy("cell", "loose", "home").agg(F.sum("n").alias("load"))
+    before = F.coalesce(F.sum(F.least("load", F.lit(limit))).over(Window.partitionBy("cell", "loose").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    loads = loads.withColumn("salts", F.ceil(F.col("load") / limit).cast("int")).withColumn("bin", F.when(F.col("salts") > 1, PIVOTS + F.col("home")).otherwise(F.floor(before / limit).cast("int"))).drop("load")
+    place = place.join(loads, ["cell", "loose", "home"]).withColumn("part", F.struct("loose", "bin", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("salts")).cast("int").alias("salt"))).drop("salts", "bin", "home")
     every = [(f, f(F.get("away", F.lit(i)))) for f in (F.min, F.max) for i in range(PIVOTS)]
     parts = place.groupBy("cell", "part").agg(F.array(*[c for f, c in every if f is F.min]).alias("lo"), F.array(*[c for f, c in every if f is F.max]).alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
     goes = place.where("loose").select("cell", "node", "n", "away", "component", F.col("part").alias("own")).join(parts, "cell")

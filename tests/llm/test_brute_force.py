@@ -142,7 +142,7 @@ def near_copies(seed, n):
     return texts
 
 
-@pytest.mark.parametrize(("k", "percent", "group", "limit"), [(4, 85, 4096, 1 << 20), (5, 80, 3, 400)])
+@pytest.mark.parametrize(("k", "percent", "group", "limit"), [(4, 85, 4096, 1 << 21), (5, 80, 3, 400)])
 def test_jaccard_join(spark, k, percent, group, limit):
     """The second case sends most regions past the windows and cuts them into slices that visit each other."""
     texts = [*near_copies(4, 200), *TRICKY, "One", "one"]
