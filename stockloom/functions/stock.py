@@ -11,9 +11,12 @@ def stripped(c: Column) -> Column:
 
 
 def tri_state(value: Column, default: int = -1) -> Column:
-    """Integers -1, 0, 1 and the words in_stock and out_of_stock; all else is the default."""
+    """Numbers whose whole part is -1, 0 or 1, booleans, whole numbers as text, and the words in_stock and out_of_stock; all else is the default."""
     text = F.lower(stripped(value.cast("string")))
-    number = text.try_cast("int")
+    whole = F.regexp_replace(text, "_", "").try_cast("int")
+    number = F.when(F.typeof(value) == "boolean", value.cast("string").try_cast("boolean").cast("int"))
+    number = number.when(F.typeof(value).isin("double", "float") | F.startswith(F.typeof(value), F.lit("decimal")), F.signum(value.cast("string").try_cast("double")) * F.floor(F.abs(value.cast("string").try_cast("double"))))
+    number = number.when(text.rlike(r"^[+-]?\d+(?:_\d+)*$"), whole)
     return F.when(number.isin(-1, 0, 1), number).when(text == "in_stock", 1).when(text == "out_of_stock", 0).otherwise(default).cast("int")
 
 
@@ -64,6 +67,21 @@ def retriable(status: Column) -> Column:
     return F.coalesce(status.isin(408, 425, 429, 500, 502, 503, 504), F.lit(False))
 
 
-def challenge_page(text: Column, markers: tuple[str, ...] = ("just a moment", "cf-challenge", "attention required")) -> Column:
+# Fixed values.
+STRONG_CHALLENGE = (
+    "just a moment", "attention required", "cf-chl", "__cf_chl", "cf browser verification", "cf-browser-verification", "challenge-platform",
+    "cdn-cgi/challenge-platform", "checking your browser before accessing", "please stand by, while we are checking your browser", "ddos protection by cloudflare",
+)
+WEAK_CHALLENGE = ("enable javascript and cookies to continue", "to work with the site requires support for javascript and cookies")
+
+
+def challenge_page(status: Column, text: Column, headers: Column | None = None) -> Column:
+    """Whether a response is a challenge: the platform's script always, other marks by status. headers: a map, names in any case."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(low, m))
+    held = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(low, m))
+    server = F.lit(False)
+    if headers is not None:
+        entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v")))
+        server = F.exists(entries, lambda e: ((e["k"] == "cf-ray") & (e["v"] != "")) | ((e["k"] == "server") & F.contains(e["v"], F.lit("cloudflare"))))
+    barred = F.coalesce(status.isin(403, 429, 503), F.lit(False)) & (held(STRONG_CHALLENGE) | held(WEAK_CHALLENGE) | server)
+    return F.contains(low, F.lit("challenge-platform")) | barred | (F.coalesce(status == 200, F.lit(False)) & held(STRONG_CHALLENGE))

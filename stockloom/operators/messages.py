@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.functions import text
+from stockloom.functions import stock, text
 
 #: Opens each message after a break.
 CONTINUED = "_\\(cont\\.\\)_"
@@ -24,12 +24,15 @@ def catalogue_changes(changes: DataFrame, products: DataFrame, key: str = "canon
 
 
 def run_stats(title: str, stats: dict[str, int]) -> Column:
-    return F.concat_ws("\n", F.lit(title), *[F.lit(f"{k}: {v}") for k, v in stats.items()])
+    """The title and a line for each number, names in words with capitals."""
+    line = lambda k, v: F.concat(F.lit("  *"), text.markdown_escaped(F.lit(k.replace("_", " ").title())), F.lit(":* "), text.markdown_escaped(F.lit(str(v))))
+    return F.concat(F.lit("📈 *"), text.markdown_escaped(F.lit(title)), F.lit("*\n\n"), F.concat_ws("\n", *[line(k, v) for k, v in stats.items()]), F.lit("\n"))
 
 
-def product_block(name: Column, url: Column, price: Column, state: Column) -> Column:
-    link = F.concat(F.lit("["), text.markdown_escaped(name), F.lit("]("), F.regexp_replace(url, r"([)\\])", r"\\$1"), F.lit(")"))
-    return F.concat_ws("\n", link, F.nullif(text.markdown_escaped(F.coalesce(price, F.lit(""))), F.lit("")), state)
+# Icons, labels and what stands for a missing field.
+LABELS = {1: ("🟢", "In Stock"), 0: ("🔴", "Out of Stock"), -1: ("⚪", "Unknown")}
+NO_NAME, NO_SITE, NO_PRICE = "Unnamed Product", "Unknown Site", "Unknown"
+LINK = "Open Product"
 
 
 def limits(most: int) -> tuple[int, int]:
@@ -38,13 +41,44 @@ def limits(most: int) -> tuple[int, int]:
     return message, max(60, message - 120)
 
 
-def product_blocks(name: Column, url: Column, price: Column, state: Column, limit: int = 4096) -> Column:
+def _or(value: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(stock.stripped(value.cast("string")), F.lit("")), F.lit(default))
+
+
+def status_line(state: Column, name: Column) -> Column:
+    icon = F.when(state == 1, LABELS[1][0]).when(state == 0, LABELS[0][0]).otherwise(LABELS[-1][0])
+    label = F.when(state == 1, LABELS[1][1]).when(state == 0, LABELS[0][1]).otherwise(LABELS[-1][1])
+    return F.concat(icon, F.lit(" *"), text.markdown_escaped(label), F.lit("* "), text.markdown_escaped(_or(name, NO_NAME)))
+
+
+def metadata(name: Column, site: Column, price: Column, state: Column) -> Column:
+    """State and name, site and price, a line each."""
+    return F.concat_ws("\n", status_line(state, name), F.concat(F.lit("*Site:* "), text.markdown_escaped(_or(site, NO_SITE))), F.concat(F.lit("*Price:* "), text.markdown_escaped(_or(price, NO_PRICE))))
+
+
+def product_block(name: Column, site: Column, price: Column, state: Column, url: Column) -> Column:
+    """A product's lines with its link."""
+    u = F.coalesce(stock.stripped(url), F.lit(""))
+    link = F.concat(F.lit(f"🔗 [{LINK}]("), F.regexp_replace(u, r"([\\()])", r"\\$1"), F.lit(")"))
+    return F.concat_ws("\n", metadata(name, site, price, state), F.when(u == "", F.concat(F.lit("🔗 *Link:* "), text.markdown_escaped(F.lit("N/A")))).otherwise(link))
+
+
+def product_blocks(name: Column, site: Column, price: Column, state: Column, url: Column, limit: int = 4096) -> Column:
     """array of (block, force): the product's block or, if that is too long, one without the link and the whole URL, forced into a new message."""
-    full = product_block(name, url, price, state)
-    short = F.concat_ws("\n", text.markdown_escaped(name), F.nullif(text.markdown_escaped(F.coalesce(price, F.lit(""))), F.lit("")), state)
     item = lambda block, force: F.struct(block.alias("block"), F.lit(force).alias("force"))
-    too_long = (F.length(full) > limits(limit)[1]) & (F.coalesce(url, F.lit("")) != "")
-    return F.when(too_long, F.array(item(short, False), item(text.markdown_escaped(url), True))).otherwise(F.array(item(full, False)))
+    u = F.coalesce(stock.stripped(url), F.lit(""))
+    full = product_block(name, site, price, state, url)
+    short = F.array(item(metadata(name, site, price, state), False), item(F.concat(F.lit("🔗 "), text.markdown_escaped(u)), True))
+    return F.when((u != "") & (F.length(full) > limits(limit)[1]), short).otherwise(F.array(item(full, False)))
+
+
+def section_header(changed: DataFrame) -> DataFrame:
+    """One row: the numbers of restocked, destocked and other rows, and the header line that tells them."""
+    n = changed.agg(
+        F.count_if("restocked").alias("restocked"), F.count_if(F.col("destocked") & ~F.col("restocked")).alias("destocked"), F.count_if(~F.col("restocked") & ~F.col("destocked")).alias("other"),
+    )
+    told = F.format_string("🟢 *%d* back in stock • 🔴 *%d* out of stock • ⚪ *%d* other", "restocked", "destocked", "other")
+    return n.withColumn("header", told)
 
 
 def filled(sections: list[tuple[str, list[tuple[str, bool]]]], header: str, most: int) -> list[str]:
@@ -65,8 +99,7 @@ def filled(sections: list[tuple[str, list[tuple[str, bool]]]], header: str, most
             if force and held:
                 flush()
                 held = [CONTINUED, title]
-            only_header = i == 0 and bool(header) and not out and held == [header]
-            if fits(new) or only_header:
+            if fits(new) or (i == 0 and header and not out and held == [header]):
                 held = held + new
             else:
                 flush()

@@ -23,7 +23,7 @@ def test_tri_state(spark, value, state):
     ("//shop.example.com", "https://shop.example.com/"),
     ("https://x.example/?x", "https://x.example/?x="),
     ("https://x.example/?/cart/vps&step=3&sid=9", "https://x.example/?/cart/vps&step=3"),
-    ("https://x.example/p?&amp;Gid=3", "https://x.example/p?gid=3"),
+    ("https://x.example/p?&amp;Gid=3", "https://x.example/p?gid=3"), ("https://x.example/?=5", "https://x.example/"), ("https://x/p?a=1+2&b=%41%zz&c=~*", "https://x/p?a=1+2&b=A%25zz&c=~%2A"),
 ])
 def test_normalize(spark, url, normal):
     assert one(spark, "string", url, urls.normalize) == normal
@@ -32,14 +32,14 @@ def test_normalize(spark, url, normal):
 @pytest.mark.parametrize(("url", "reason"), [
     ("ftp://x/store/a", "non-http-scheme"), ("https://x/contact.php", "denylist:contact"), ("https://x/cart.php?a=view", "cart-action-page"),
     ("https://x/index.php?rp=/login", "blocked-route:login"), ("https://x/about", "not-product-like"), ("https://x/index.php?rp=/store/vps", "ok"),
-    ("https://x/shop/server?type=1", "not-product-like"),
+    ("https://x/shop/server?type=1", "not-product-like"), ("x.example/store/vps", "ok"),
 ])
 def test_classify(spark, url, reason):
     assert one(spark, "string", url, urls.classify_reason) == reason
 
 
 @pytest.mark.parametrize(("url", "reason"), [
-    ("https://x/a.png", "media-or-static-file"), ("https://x/a?currency=2&lang=fr", "blocked-query:currency"), ("https://x/a?lang=fr&currency=2", "non-english-language:fr"),
+    ("https://x/a.png", "media-or-static-file"), ("https://x/a?currency=2&lang=fr", "blocked-query:currency"), ("https://x/a?lang=fr&currency=2", "blocked-query:currency"), ("https://x/a?lang=fr", "non-english-language:fr"), ("https://x/a.png/", "media-or-static-file"), ("https://x/?action=a&action=embed&cmd=hbchat", "blocked-query:hbchat"),
     ("https://x/a?lang=en", "ok"), ("https://x/cdn-cgi/l", "blocked-path:cdn-cgi"), ("https://x/a&b", "malformed-path-ampersand"), ("https://x/?cmd=hbchat&action=embed", "blocked-query:hbchat"),
 ])
 def test_skip(spark, url, reason):
@@ -152,8 +152,9 @@ def test_messages_are_whole(spark):
     out = messages.chunked(many, 300).orderBy("part").collect()
     assert [r["part"] for r in out] == list(range(len(out))) and "".join(r["message"] for r in out).count("b") == 10100
     assert len({len(r["message"]) for r in out[1:-1]}) == 1
-    one = spark.createDataFrame([("n", "https://x/" + "u" * 400, "5", "in")], "n string, u string, p string, s string")
-    parts = one.select(F.inline(messages.product_blocks(F.col("n"), F.col("u"), F.col("p"), F.col("s"), 300))).collect()
+    one = spark.createDataFrame([("n", "https://x/" + "u" * 400, "5", 1, "")], "n string, u string, p string, s int, site string")
+    parts = one.select(F.inline(messages.product_blocks(F.col("n"), F.col("site"), F.col("p"), F.col("s"), F.col("u"), 300))).collect()
+    assert parts[0]["block"] == "🟢 *In Stock* n\n*Site:* Unknown Site\n*Price:* 5"
     assert [r["force"] for r in parts] == [False, True] and parts[1]["block"].count("u") == 400 and messages.filled([("T", [tuple(r) for r in parts])], "H", 236)[1].startswith(mark)
 
 
@@ -171,15 +172,19 @@ def test_feed(spark):
 
 def test_pages(spark):
     rows = [
-        ("a", "https://x/cart.php?a=confproduct&i=0", "<h2 class=product-title>Plan<p class=alert>Out of stock"),
-        ("a", "https://x/store/vps/one", "<div class='alert alert-danger message-danger'>Out of Stock</div><h2>One</h2>"),
-        ("a", "https://x/store/vps", "<div class=alert>Out of Stock</div><a href='/store/vps/one'>x</a>"),
-        ("b", "https://x/?cmd=cart&action=add&id=4", "<p>$5 USD</p><button disabled>Order</button>"),
-        ("b", "https://x/cart/vps", "<p>No services yet</p><a href='/about'>n</a>"),
+        ("a", "https://x/cart.php?a=confproduct&i=0", "<h2 class=product-title>Plan<p class=alert>Out of stock", (1, True, False, ["confproduct-final-url", "oos-marker", "has-product-info"])),
+        ("a", "https://x/store/vps/one", "<div class='alert alert-danger message-danger'>Out of Stock</div><h2>One</h2>", (0, True, False, ["oos-marker", "message-danger", "has-product-info"])),
+        ("a", "https://x/store/vps", "<div class=alert>Out of Stock</div><a href='/store/vps/one'>x</a>", (-1, False, True, ["oos-marker", "product-link-count:1"])),
+        ("a", "https://x/store/vps/one", "<div class=alert>Careful</div><h1>Configure</h1><p>$5 USD</p>", (-1, True, False, ["has-pricing"])),
+        ("a", "https://x/store/vps/one", "<select name=billingcycle><option>Monthly $5</select><div class=alert>缺货中</div>", (0, True, False, ["oos-marker", "has-configurable-options", "has-product-info", "has-pricing"])),
+        ("b", "https://x/?cmd=cart&action=add&id=4", "<p>$5 USD</p><button disabled>Out of stock</button>", (0, True, False, ["oos-marker", "disabled-oos-button", "add-id-url", "has-pricing"])),
+        ("b", "https://x/?cmd=cart&action=add&id=4", "<p>$5 USD</p><button disabled>Order</button>", (1, True, False, ["add-id-url", "has-pricing"])),
+        ("b", "https://x/cart/vps", "<p>No services yet</p><a href='/about'>n</a>", (-1, False, False, ["no-services-yet"])),
+        ("b", "https://x/cart/vps", "<noscript>unavailable</noscript><a href='/?cmd=cart&cat_id=2'>n</a>", (-1, False, True, ["category-link-count:1"])),
+        ("b", "https://x/?step=3", "<script>var errors=['Sold out: unavailable']</script>", (0, True, False, ["js-errors-array", "order-step"])),
     ]
-    out = html_pages.parsed(spark.createDataFrame(rows, "platform string, final_url string, html string")).collect()
-    got = [(r["in_stock"], r["is_product"], r["is_category"]) for r in out]
-    assert got == [(1, True, False), (0, True, False), (-1, False, True), (0, True, False), (-1, False, False)]
+    out = html_pages.parsed(spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, platform string, final_url string, html string")).orderBy("i").collect()
+    assert [(r["in_stock"], r["is_product"], r["is_category"], r["evidence"]) for r in out] == [r[3] for r in rows]
 
 
 def test_inline_links_and_add_forms(spark):
@@ -202,5 +207,5 @@ def test_page_signals_by_both_platforms(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {(r["page_id"], r["platform"]): (r["in_stock"], r["is_product"], r["is_category"]) for r in catalogue.QUERIES["page_signals"](spark, str(tmp_path)).collect()}
     assert got == {
-        (1, "a"): (0, True, False), (1, "b"): (0, False, False), (2, "a"): (-1, False, False), (2, "b"): (0, True, False), (3, "a"): (-1, False, False), (3, "b"): (-1, False, False),
+        (1, "a"): (0, True, False), (1, "b"): (0, False, False), (2, "a"): (-1, False, False), (2, "b"): (1, True, False), (3, "a"): (-1, False, False), (3, "b"): (-1, False, False),
     }
