@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stockloom.plans import catalogue
+from stockloom.plans import catalogue, surface  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
