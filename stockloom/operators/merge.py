@@ -86,3 +86,11 @@ def diff(old: DataFrame, new: DataFrame, key: str, state: str) -> DataFrame:
     a, b = old.select(key, F.col(state).alias("_old"), F.lit(True).alias("_a")), new.select(key, F.col(state).alias("_new"), F.lit(True).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "deleted").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     return a.join(b, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")
+
+
+def run_stats(merged: DataFrame, changes: DataFrame, checked: DataFrame) -> DataFrame:
+    """One row: the numbers of merged, new, deleted and changed records, of checked ones, and of those still unknown."""
+    of = lambda k: F.count_if(F.col("change") == k)
+    a = merged.agg(F.count("*").alias("merged"), F.count_if(F.col("in_stock") == -1).alias("unknown"))
+    b = changes.agg(of("added").alias("new"), of("deleted").alias("deleted"), of("changed").alias("changed"))
+    return a.crossJoin(b).crossJoin(checked.agg(F.count("*").alias("checked")))  # one row each

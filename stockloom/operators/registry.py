@@ -30,6 +30,11 @@ def entries(issues: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason(F.col("action"), F.col("name"), F.col("url"))).drop("f")
 
 
+def wanted_urls(seen: DataFrame, dead: DataFrame, key: str = "url") -> DataFrame:
+    """Candidates without dead links."""
+    return seen.join(dead.select(key).distinct(), key, "left_anti")
+
+
 def upserted(sites: DataFrame, changes: DataFrame) -> DataFrame:
     """Adds of absent names and edits of present ones; all else leaves the registry as it was."""
     fields = [c for c in sites.columns if c != "name"]

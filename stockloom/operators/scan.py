@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.functions import text, urls
+
 
 def first_seen(rows: DataFrame, site: str, key: Column, id: str, wanted: Column) -> DataFrame:
     """rows with `is_hit`: the first wanted row of its key at its site."""
@@ -38,3 +40,63 @@ def processed(ids: DataFrame, site: str = "site", start: Column | None = None, h
 def high_water(hits: DataFrame, site: str, learned: Column, tail: int) -> DataFrame:
     high = F.greatest(F.max("id"), F.max(learned))
     return hits.groupBy(site).agg(high.alias("high")).withColumn("resume", F.greatest(F.lit(0), F.col("high") - tail))
+
+
+def _english(url: Column) -> Column:
+    return urls.normalize(url, english=True)
+
+
+def category_hits(rows: DataFrame, platform: str) -> DataFrame:
+    """rows (site, id, ok, final_url and the parser's verdict) with `key`, the normal final URL, and `is_hit`: the first category page of its key.
+    On the second platform a product page counts too, unless it shows that there are no services."""
+    wanted = F.col("is_category") if platform == "a" else (F.col("is_category") | F.col("is_product")) & ~F.array_contains("evidence", "no-services-yet")
+    df = rows.withColumn("key", _english(F.col("final_url")))
+    return first_seen(df, "site", F.col("key"), "id", F.coalesce(F.col("ok") & wanted, F.lit(False)))
+
+
+def category_rows(hits: DataFrame) -> DataFrame:
+    """What a category scan yields: a row for each hit, and one for each product link of every page that was fetched."""
+    own = hits.where("is_hit").select("site", "id", F.col("key").alias("canonical_url"), F.col("name").alias("name_raw"), F.lit("category").alias("type"), "evidence")
+    link = hits.where("ok").select("site", "id", "final_url", "evidence", F.explode("product_links").alias("link"))
+    link = link.select("site", "id", _english(urls.resolved(F.col("final_url"), F.col("link"))).alias("canonical_url"), F.lit("").alias("name_raw"), F.lit("product").alias("type"), F.concat("evidence", F.array(F.lit("category-product-link"))).alias("evidence"))
+    return own.unionByName(link).withColumn("in_stock", F.lit(-1)).orderBy("id")
+
+
+def product_hits(rows: DataFrame, platform: str) -> DataFrame:
+    """rows (site, id, ok, requested_url, final_url, verdict) with `canonical_url`, the state `in_stock` and `is_hit`: the first page wanted of its signature.
+
+    First platform: wanted are configuration pages (in stock), and product-like ones that are out of stock or have product information; equal
+    pages are told by the final URL of a store's product, the requested URL of a cart link without information, else by content.
+    Second platform: wanted are products, and pages out of stock; equal ones are told by the requested URL."""
+    held = lambda e: F.array_contains("evidence", e)
+    if platform == "a":
+        route = urls.route_label(F.col("final_url"))
+        like = route.isin("confproduct", "store_product", "cart_add")
+        state = F.when(held("confproduct-final-url"), 1).when(like & held("oos-marker"), 0).when(like & held("has-product-info"), 1)
+        content = F.to_json(text.signature(F.coalesce("name", F.lit("")), F.col("prices"), F.col("cycles"), F.col("locations")))
+        key = F.when(route == "store_product", F.concat(F.lit("url:"), _english(F.col("final_url")))).when((route == "cart_add") & ~held("has-product-info"), F.concat(F.lit("url:"), _english(F.col("requested_url")))).otherwise(content)
+        df = rows.withColumn("canonical_url", F.when(route == "store_product", _english(F.col("final_url"))).otherwise(_english(F.col("requested_url"))))
+    else:
+        state = F.when(F.col("is_product") | (F.col("in_stock") == 0), F.col("in_stock"))
+        key = _english(F.col("requested_url"))
+        df = rows.withColumn("canonical_url", F.lower(key))
+    df = df.withColumn("_key", key).withColumn("in_stock", state.cast("int"))
+    return first_seen(df, "site", F.col("_key"), "id", F.coalesce(F.col("ok"), F.lit(False)) & F.col("in_stock").isNotNull()).drop("_key")
+
+
+def circuit(log: DataFrame, threshold: int = 5, cooldown: float = 180, key: str = "host") -> DataFrame:
+    """A fetch log (host, at in seconds, id, ok) with `failures`, those in a row up to this fetch, and `opens`: where a row of them reaches the threshold."""
+    w = Window.partitionBy(key).orderBy("at", "id")
+    island = F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = log.withColumn("_island", island)
+    within = Window.partitionBy(key, "_island").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(within))
+    return df.withColumn("opens", ~F.col("ok") & (F.col("failures") == threshold)).withColumn("open_until", F.when(F.col("opens"), F.col("at") + cooldown)).drop("_island")
+
+
+def routed(sites: DataFrame) -> DataFrame:
+    """Enabled sites with `scanner`, the product scan that fits: a special crawler's, whatever the flag, else the platform's; null is none."""
+    special = F.lower(F.trim(F.coalesce("special_crawler", F.lit(""))))
+    platform = F.lower(F.coalesce("category", F.lit("")))
+    scanner = F.when(special.isin("feed_a", "feed_b"), special).when(F.coalesce(F.col("product_scanner"), F.lit(False)) & platform.isin("a", "b"), F.concat(F.lit("ids_"), platform))
+    return sites.where("enabled").withColumn("scanner", scanner)

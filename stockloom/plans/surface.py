@@ -218,7 +218,7 @@ def section_header(spark, d):
 @query(f"""with recursive b as (select row_number() over (order by s, o_custkey) as k, s, row_number() over (partition by s order by o_custkey) as i, case s when 0 then '*Restocked*' when 1 then '*Out of stock*' else '*Changed*' end as title,
  'customer ' || o_custkey || ' now ' || case in_stock when 1 then 'In stock' when 0 then 'Out of stock' else 'Unknown' end as block from (select *, case when up then 0 when down then 1 else 2 end as s from {CHANGES})),
 w(k, part, len, fresh) as (select k, 0, cast(15 + 2 + length(title) + 2 + length(block) as bigint), false from b where k = 1
- union all select b.k, case when fits then w.part else w.part + 1 end, cast(case when fits then w.len + more else 13 + 2 + length(title) + 2 + length(block) end as bigint), not fits
+ union all select b.k, case when fits then w.part else w.part + 1 end, cast(case when fits then w.len + more else 12 + 2 + length(title) + 2 + length(block) end as bigint), not fits
  from (select w.*, w.len + case when b.i = 1 then 2 + length(b.title) else 0 end + 2 + length(b.block) <= 936 as fits, case when b.i = 1 then 2 + length(b.title) else 0 end + 2 + length(b.block) as more from w join b on b.k = w.k + 1) w join b on b.k = w.k + 1)
 select part, string_agg(case when k = 1 then '*Stock changed*' || chr(10) || chr(10) || title || chr(10) || chr(10) || block when fresh then '_\\(cont\\.\\)_' || chr(10) || chr(10) || title || chr(10) || chr(10) || block when i = 1 then title || chr(10) || chr(10) || block else block end, chr(10) || chr(10) order by k) as message from w join b using (k) group by part""")
 def message_chunks_whole(spark, d):
@@ -289,3 +289,34 @@ def scan_first_seen(spark, d):
     li = _t(spark, d, "lineitem")
     one = li.groupBy(F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("id")).agg(F.min(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("r"))
     return scan.first_seen(one, "site", F.col("r.l_partkey"), "id", F.col("r.l_quantity") > 25).select("site", "id", "is_hit")
+
+
+@query(f"""select (select count(*) from {_latest_sql('>=')}) as merged, (select count(*) from {_latest_sql('>=')} where in_stock = -1) as unknown, count(*) filter (a.o_custkey is null) as new, count(*) filter (b.o_custkey is null) as deleted,
+count(*) filter (a.in_stock <> b.in_stock) as changed, (select count(*) from {_latest_sql('<')} where in_stock = -1) as checked from {_latest_sql('<')} a full join {_latest_sql('>=')} b on a.o_custkey = b.o_custkey""")
+def merge_run_stats(spark, d):
+    old, new = _latest(spark, d, False), _latest(spark, d, True)
+    return merge.run_stats(new, merge.diff(old, new, "o_custkey", "in_stock"), snapshot.targets(old.withColumn("type", F.lit("product")), True))
+
+
+@query("""with l as (select user_id as host, epoch(ts) as t0, event_id as id, event_type = 'purchase' as ok from events), i as (select *, sum(cast(ok as int)) over (partition by host order by t0, id rows unbounded preceding) as k from l),
+f as (select *, sum(cast(not ok as int)) over (partition by host, k order by t0, id rows unbounded preceding) as failures from i)
+select id, cast(failures as bigint) as failures, not ok and failures = 5 as opens from f""")
+def circuit_islands(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"))
+    return scan.circuit(e).select("id", "failures", "opens")
+
+
+@query("""select s_suppkey as name, case when s_suppkey % 7 = 0 then 'feed_a' when s_suppkey % 7 = 1 then 'feed_b' when s_suppkey % 2 = 0 and s_suppkey % 5 in (0, 1) then 'ids_a' when s_suppkey % 2 = 0 and s_suppkey % 5 in (2, 3) then 'ids_b' end as scanner from supplier where s_suppkey % 11 <> 0""")
+def site_routing(spark, d):
+    k = F.col("s_suppkey")
+    rows = _t(spark, d, "supplier").select(
+        k.alias("name"), (k % 11 != 0).alias("enabled"), F.when(k % 7 == 0, " Feed_A ").when(k % 7 == 1, "feed_b").alias("special_crawler"), (k % 2 == 0).alias("product_scanner"),
+        F.when(k % 5 < 2, "A").when(k % 5 < 4, "b").otherwise("other").alias("category"),
+    )
+    return scan.routed(rows).select("name", "scanner")
+
+
+@query("select l_partkey as url from (select distinct l_partkey from lineitem where l_quantity > 40) except select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 49")
+def live_candidates(spark, d):
+    li = _t(spark, d, "lineitem").withColumnRenamed("l_partkey", "url")
+    return registry.wanted_urls(li.where("l_quantity > 40").select("url").distinct(), li.where("l_returnflag = 'R' AND l_quantity > 49"))

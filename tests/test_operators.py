@@ -209,3 +209,37 @@ def test_page_signals_by_both_platforms(spark, tmp_path):
     assert got == {
         (1, "a"): (0, True, False), (1, "b"): (0, False, False), (2, "a"): (-1, False, False), (2, "b"): (1, True, False), (3, "a"): (-1, False, False), (3, "b"): (-1, False, False),
     }
+
+
+def test_discover(spark):
+    """Dead pages, off-host and skipped links, entry points of a site whose root shows nothing, and candidates by form."""
+    r = "https://x.example"
+    pages = [
+        (f"{r}/", f"{r}/login", True, 200, "<a href='/about'>a</a><a href='https://y.example/store/a/b'>off</a><a href='/pic.png'>p</a>"),
+        (f"{r}/about", f"{r}/about", True, 200, "<p>x"), (f"{r}/store", f"{r}/store", True, 200, "<a href='/store/vps'>v</a><a href='/store/vps/one'>1</a><a href='/store/vps/two?currency=2'>2</a>"),
+        (f"{r}/store/vps/one", f"{r}/store/vps/gone", False, 404, ""), (f"{r}/store/vps", f"{r}/store/vps", True, 200, "<a href='../cart.php?a=add&pid=3'>3</a>"), (f"{r}/cart.php", f"{r}/cart.php", True, 404, "no"),
+    ]
+    pages = spark.createDataFrame(pages, "url string, final_url string, ok boolean, status int, html string")
+    got = crawl.discover(spark.createDataFrame([("s", f"{r}")], "site string, root string"), pages).collect()
+    by = {k: {x["url"].removeprefix(r) for x in got if x["kind"] == k} for k in ("visited", "product", "category")}
+    cart = {"/cart.php?a=add&pid=3", "/store/cart.php?a=add&pid=3"}  # the anchor, and the same text taken as an inline URL
+    assert by["product"] == cart and by["category"] == {"/store/vps", "/store/cart.php?a=add&pid=3"}
+    assert by["visited"] == {"/", "/about", "/index.php", "/cart.php", "/store", "/index.php?rp=%2Fstore", "/store/vps", "/store/vps/one"} | cart
+
+
+def test_id_scans(spark):
+    kind = "site string, id int, ok boolean, requested_url string, final_url string, is_category boolean, is_product boolean, in_stock int, name string, evidence array<string>, prices array<string>, cycles array<string>, locations array<string>, product_links array<string>"
+    row = lambda i, final, cat=False, prod=False, state=-1, name="", ev=(), links=(), ok=True: ("s", i, ok, f"https://x/cart.php?gid={i}", final, cat, prod, state, name, list(ev), [], [], [], list(links))
+    a = spark.createDataFrame([row(1, "https://x/store/vps", True, links=["/store/vps/a"]), row(2, "https://x/store/vps/", True), row(3, "https://x/about"), row(4, "https://x/store/web", True, ok=False)], kind)
+    hits = scan.category_hits(a, "a")
+    assert {r["id"] for r in hits.where("is_hit").collect()} == {1}
+    assert [(r["id"], r["type"], r["canonical_url"]) for r in scan.category_rows(hits).collect()] == [(1, "category", "https://x/store/vps?language=english"), (1, "product", "https://x/store/vps/a?language=english")]
+    b = spark.createDataFrame([row(1, "https://x/c/a", prod=True), row(2, "https://x/c/b", True, ev=["no-services-yet"]), row(3, "https://x/c/a", True)], kind)
+    assert {r["id"] for r in scan.category_hits(b, "b").where("is_hit").collect()} == {1}
+    conf, info, out = ["confproduct-final-url", "has-product-info"], ["has-product-info"], ["oos-marker"]
+    p = spark.createDataFrame([
+        row(1, "https://x/cart.php?a=confproduct&i=0", name="A b", ev=conf), row(2, "https://x/cart.php?a=confproduct&i=1", name=" a  B", ev=conf), row(3, "https://x/store/v/one", name="One", ev=info),
+        row(4, "https://x/store/v/one", name="Two", ev=info), row(5, "https://x/cart.php?a=add&pid=9", ev=out), row(6, "https://x/cart.php?a=add&pid=9", ev=out), row(7, "https://x/about", ev=info)], kind)
+    assert {r["id"]: r["in_stock"] for r in scan.product_hits(p, "a").where("is_hit").collect()} == {1: 1, 3: 1, 5: 0, 6: 0}
+    q = spark.createDataFrame([row(1, "u", prod=True, state=1), row(2, "u", state=0), row(3, "u")], kind)
+    assert {r["id"]: r["in_stock"] for r in scan.product_hits(q, "b").where("is_hit").collect()} == {1: 1, 2: 0}
