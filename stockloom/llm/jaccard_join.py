@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm._shared import components, fresh, staged, table
@@ -446,8 +446,9 @@ def _large_regions(large: DataFrame, held: DataFrame, percent: int, limit: int)
     return near, staged(rows.mapInArrow(visited, "a long, b long"), "visits", done=(kept,))
 
 
-def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, group: int = GROUP, limit: int = LIMIT) -> DataFrame:
-    """Edges (a, b) of nodes whose components are those of all links. own: node, n, cells, keys; reps: node, doc_id, text_hash of one document each."""
+def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, group: int = GROUP, limit: int = LIMIT, repeated: bool = True) -> DataFrame:
+    """Edges (a, b) of nodes whose components are those of all links. own: node, n, cells, keys; reps: node, doc_id, text_hash of one document each;
+    repeated: whether rows of docs may share a doc_id and text."""
     keyed = own.select(F.explode("keys").alias("key"), "node")
     pivots = keyed.groupBy("key").agg(F.min("node").alias("cell"), F.count("*").alias("found")).where("found > 1").select("key", "cell")
     met = staged(keyed.join(pivots, "key").select("cell", "node").distinct(), "regions")
@@ -485,7 +486,8 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
 
     need = reps.join(stay.select("node").distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
     texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text")
-    held = staged(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
+    held = texts.mapInArrow(sets, "node long, set binary")
+    held = staged(held.dropDuplicates(["node"]) if repeated else held, "sets")
     loads = stay.groupBy("cell").agg(F.sum("n").alias("load"), F.count("*").alias("size")).where("size > 1")
     large = staged(loads.where(F.col("load") > limit).select("cell", "load"), "large-regions")
 
@@ -511,7 +513,8 @@ def _named(docs: DataFrame, words: int, percent: int, group: int = GROUP, limit:
     reps = some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least")).select("node", "rep.*", "least")
     reps = staged(reps, "representatives")
     slim = staged(rows.select("doc_id", "text_hash", "n", "node"), "documents", done=(rows,))
-    edges = links(docs, own, reps, words, percent, group, limit)
+    repeated = bool(slim.where("n > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1").head(1))
+    edges = links(docs, own, reps, words, percent, group, limit, repeated)
     named = reps.select("node", "least").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = staged(named, "components", done=(own, reps, edges))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -539,10 +542,17 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     key = told.groupBy("doc_id", "text_hash").agg(F.max("stays").alias(stays), F.count("*").alias("copies"))
     key = staged(key.select(F.col("doc_id").alias(by_id), F.col("text_hash").alias(by_text), stays, "copies"), "stage-kept", done=(rows,))
     hashed = docs.withColumn(by_text, F.xxhash64("text"))
-    same = hashed["doc_id"].cast("long").eqNullSafe(key[by_id]) & (hashed[by_text] == key[by_text])
+
     # rows that stay alone are not moved; rows that repeat a doc_id and text are reduced to one
-    alone = hashed.join(key.where(f"NOT {stays} OR copies > 1"), same, "left_anti").select(*[hashed[c] for c in docs.columns])
-    again = hashed.join(key.where(f"{stays} AND copies > 1"), same, "left_semi").dropDuplicates(["doc_id", by_text])
+    def match(keys: DataFrame) -> Column:
+        return hashed["doc_id"].cast("long").eqNullSafe(keys[by_id]) & (hashed[by_text] == keys[by_text])
+
+    gone = staged(key.where(f"NOT {stays} OR copies > 1").select(by_id, by_text), "stage-gone")
+    alone = hashed.join(gone, match(gone), "left_anti").select(*[hashed[c] for c in docs.columns])
+    several = staged(key.where(f"{stays} AND copies > 1").select(by_id, by_text), "stage-repeated", done=(key,))
+    if not several.head(1):
+        return alone
+    again = hashed.join(several, match(several), "left_semi").dropDuplicates(["doc_id", by_text])
     return alone.unionByName(again.select(*[again[c] for c in docs.columns]))
 
 
