@@ -55,6 +55,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bits of a sieve: it takes at most 8 MB, whatever goes in.
+SIEVE = 1 << 26
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """A table of at most SIEVE / 32768 rows that tells of most hashes that they are not in keys[column] (a long), and never so of one that is."""
+    bit = F.pmod(F.col(column), F.lit(SIEVE)) + 1
+    return staged(keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "sieve")
+
+
+def sifted(df: DataFrame, column: str, held: DataFrame, flag: str) -> DataFrame:
+    """df with the boolean column `flag`: false where df[column] is in no row of the sieve `held`. Rows stay where they are."""
+    bucket, bits = fresh(df, "bucket", "bits")
+    bit = F.pmod(F.col(column), F.lit(SIEVE)) + 1
+    at = F.bitmap_bit_position(bit)
+    small = F.broadcast(held.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))  # at most SIEVE bits
+    own = df.withColumn(flag, F.bitmap_bucket_number(bit)).join(small, F.col(flag) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) != 0, F.lit(False))
+    return own.withColumn(flag, marked).drop(bucket, bits)
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

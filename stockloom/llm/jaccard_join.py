@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm._shared import components, fresh, staged, table
+from stockloom.llm._shared import components, fresh, sieve, sifted, staged, table
 
 BUCKETS = 1 << 16  # of the word frequency table
 #: Cells of a set's counts, by its size: few for small sets, more above each bound.
@@ -485,6 +485,9 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "set"])
 
     need = reps.join(stay.select("node").distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
+    need = staged(need, "needed")
+    # of the texts, few are needed: the others are left where they are
+    docs = sifted(docs, "text_hash", sieve(need, "rep_hash"), "needed").where("needed").select("doc_id", "text_hash", "text")
     texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text")
     held = texts.mapInArrow(sets, "node long, set binary")
     held = staged(held.dropDuplicates(["node"]) if repeated else held, "sets")
@@ -544,15 +547,19 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     hashed = docs.withColumn(by_text, F.xxhash64("text"))
 
     # rows that stay alone are not moved; rows that repeat a doc_id and text are reduced to one
-    def match(keys: DataFrame) -> Column:
-        return hashed["doc_id"].cast("long").eqNullSafe(keys[by_id]) & (hashed[by_text] == keys[by_text])
+    def match(df: DataFrame, keys: DataFrame) -> Column:
+        return df["doc_id"].cast("long").eqNullSafe(keys[by_id]) & (df[by_text] == keys[by_text])
 
     gone = staged(key.where(f"NOT {stays} OR copies > 1").select(by_id, by_text), "stage-gone")
-    alone = hashed.join(gone, match(gone), "left_anti").select(*[hashed[c] for c in docs.columns])
+    (maybe,) = fresh(hashed, "maybe")
+    told = sifted(hashed, by_text, sieve(gone, by_text), maybe)
+    doubtful = told.where(maybe)
+    doubtful = doubtful.join(gone, match(doubtful, gone), "left_anti").select(*docs.columns)
+    alone = told.where(~F.col(maybe)).select(*docs.columns).unionByName(doubtful)
     several = staged(key.where(f"{stays} AND copies > 1").select(by_id, by_text), "stage-repeated", done=(key,))
     if not several.head(1):
         return alone
-    again = hashed.join(several, match(several), "left_semi").dropDuplicates(["doc_id", by_text])
+    again = hashed.join(several, match(hashed, several), "left_semi").dropDuplicates(["doc_id", by_text])
     return alone.unionByName(again.select(*[again[c] for c in docs.columns]))
 
 
