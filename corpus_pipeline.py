@@ -1,8 +1,8 @@
 """Preparation of `documents` for training: quality rules, n-gram Jaccard join, suffix-array dedup, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept; all but the last
-return the columns of docs. No stage but the last can be told in SQL for all its rows, so ORACLE_SQL is None and the
-tests hold the stages against brute force.
+return the columns of docs. Quality rules iterate, so SQL cannot tell the whole and ORACLE_SQL is None;
+the tests run every stage and hold it against a plain version of its rule.
 """
 
 from __future__ import annotations
