@@ -486,8 +486,9 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
 
     need = reps.join(stay.select("node").distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
     need = staged(need, "needed")
-    # of the texts, few are needed: the others are left where they are
-    docs = sifted(docs, "text_hash", sieve(need, "rep_hash"), "needed").where("needed").select("doc_id", "text_hash", "text")
+    # of the texts, few are needed, and one of equal ones is enough: the others are left where they are
+    wanted = sieve(need.select(F.xxhash64("rep_id", "rep_hash").alias("row")), "row")
+    docs = sifted(docs.withColumn("row", F.xxhash64("doc_id", "text_hash")), "row", wanted, "needed").where("needed").select("doc_id", "text_hash", "text")
     texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text")
     held = texts.mapInArrow(sets, "node long, set binary")
     held = staged(held.dropDuplicates(["node"]) if repeated else held, "sets")
@@ -512,9 +513,12 @@ def _named(docs: DataFrame, words: int, percent: int, group: int = GROUP, limit:
     """doc_id, text_hash, n, node and component (the name of a node, for rows with words) and component_id of every row of docs (doc_id, text_hash, text)."""
     rows = staged(sketches(docs.select("doc_id", "text_hash", "text"), words, percent), "sketches")
     some = rows.where("n > 0")
-    own = staged(some.dropDuplicates(["node"]).select("node", "n", "cells", "keys"), "nodes")
-    reps = some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least")).select("node", "rep.*", "least")
+    reps = some.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("node", "rep.*", "least", "copies")
     reps = staged(reps, "representatives")
+    # most sets are those of one row only: such rows are not moved
+    told = sifted(some, "node", sieve(reps.where("copies > 1"), "node"), "several")
+    own = told.where("NOT several").unionByName(told.where("several").dropDuplicates(["node"]))
+    own = staged(own.select("node", "n", "cells", "keys"), "nodes")
     slim = staged(rows.select("doc_id", "text_hash", "n", "node"), "documents", done=(rows,))
     repeated = bool(slim.where("n > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1").head(1))
     edges = links(docs, own, reps, words, percent, group, limit, repeated)
