@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm._shared import fresh, staged, table
+from stockloom.llm._shared import fresh, sieve, sifted, staged, table
 
 LENGTH = 200
 GRAM = 64  # a power of two below LENGTH
@@ -218,9 +218,16 @@ def _class_batch(rows: list[tuple], *more: tuple[str, pa.DataType]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[name for name, _ in kinds])
 
 
+def _rows(df: DataFrame) -> DataFrame:
+    """The sieve of df's texts, each told by doc_id and text_hash."""
+    return sieve(df.select(F.xxhash64("doc_id", "text_hash").alias("row")), "row")
+
+
 def _with_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """text and the list `wanted` of classes that one document stands for; no longer than the document."""
     wanted = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*ONE, "n", "at")).alias("wanted"))
+    # texts that stand for no class are left where they are
+    docs = sifted(docs.withColumn("row", F.xxhash64("doc_id", "text_hash")), "row", _rows(classes), "some").where("some").select("doc_id", "text_hash", "text")
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])
     return docs.join(wanted, same).select("text", "wanted", wanted["doc_id"], wanted["text_hash"])
 
@@ -330,8 +337,13 @@ def _spanned(docs: DataFrame, length: int, text_hash: str, spans: str) -> DataFr
     """docs with the columns `text_hash` and `spans` (null where nothing repeats)."""
     found = repeats(docs, length)
     hashed = docs.withColumn(text_hash, F.xxhash64("text"))
-    same = hashed["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (hashed[text_hash] == found["text_hash"])
-    return hashed.join(found, same, "left").select(*[hashed[c] for c in hashed.columns], found["spans"].alias(spans))
+    # rows where nothing repeats are not moved
+    row, told = fresh(hashed, "row", "told")
+    flagged = sifted(hashed.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col(text_hash))), row, _rows(found), told)
+    still = flagged.where(~F.col(told)).select(*hashed.columns, F.lit(None).cast(found.schema["spans"].dataType).alias(spans))
+    moved = flagged.where(told).select(*hashed.columns)
+    same = moved["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (moved[text_hash] == found["text_hash"])
+    return still.unionByName(moved.join(found, same, "left").select(*[moved[c] for c in moved.columns], found["spans"].alias(spans)))
 
 
 def _remaining(text: Column, spans: Column) -> Column:
