@@ -5,20 +5,21 @@ Equal sets are one node throughout.
 
 Pivots: unrelated documents all lie at distance 1 from each other, so no document can serve as a pivot for all. Each
 document therefore first looks for pivots among those documents that it can be near to: of all nodes that share one of a
-document's first shingles (in an order of all shingles, those of rare words first, as many as the threshold requires, so
-that two linked documents always share one), the least by hash is a pivot. The region of a pivot holds all nodes that
+document's first shingles (in an order of all shingles, those last that a sample shows to be common, those of rare words first, as many as
+the threshold requires, so that two linked documents always share one), the least by hash is a pivot. The region of a pivot holds all nodes that
 found it; linked nodes always meet in one, and overlapping neighbourhoods elect the same pivot, so regions stay few.
 
-Windows: within a region, a node stays only if some other one is near enough by two lower bounds of the distance: that of
+Windows: within a region, two nodes stay together only if they are near enough by two lower bounds of the distance: that of
 the sizes (the difference of the distances to the empty set) and that of the counts of shingles over cells of the shingle space.
+What such pairs of all regions connect is a cluster; a node is in one only, so its whole set moves once, however many regions it is in.
 
-Recursion: a region's nodes then meet with their whole sets. Voronoi cells form around PIVOTS pivot documents, chosen
+Recursion: a cluster's nodes then meet with their whole sets. Voronoi cells form around PIVOTS pivot documents, chosen
 each as far as can be from those before; a node at distance d from its own pivot also visits the cells of all pivots
 within d + 2 (1 - threshold), which the triangle inequality shows to be enough; cells are divided again with pivots
 of their own until they are small or no longer shrink. Nodes within the threshold of a pivot are one component, and what one component holds is
-never compared within itself. Only edges that join components leave a region, fewer than it has nodes.
+never compared within itself. Only edges that join components leave a cluster, fewer than it has nodes.
 
-A region with more shingles than LIMIT is cut into slices that carry the same pivots. Each slice is joined by itself and yields
+A cluster (a region, below) with more shingles than LIMIT is cut into slices that carry the same pivots. Each slice is joined by itself and yields
 every node's distances to the pivots; then the nodes outside the region's largest component visit those parts of the Voronoi cells that the windows around all pivots leave open.
 So no task holds more than about LIMIT shingles of a region, whatever its size.
 
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 
 from stockloom.llm._shared import components, fresh, sieve, sifted, staged, table
 
-BUCKETS = 1 << 16  # of the word frequency table
+BUCKETS = 1 << 18  # of the word frequency table
+#: Distinct texts, about, among which common shingles are looked for, and the most shingles so found.
+SAMPLE = 8192
+COMMON = 1 << 16
 #: Cells of a set's counts, by its size: few for small sets, more above each bound.
 CELLS = ((512, 64), (4096, 256), (1 << 62, 1024))
 BLOCK = 1 << 20
-#: Regions of more nodes than this skip the windows of sizes and counts: all their nodes meet with whole sets.
+#: Regions of more nodes than this skip the windows of sizes and counts: all their nodes are one cluster.
 GROUP = 4096
 #: Shingles of a region that one task holds, about.
 LIMIT = 1 << 21
@@ -111,25 +115,57 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
-    """A rank of commonness for each bucket of word hashes, counted over all documents; of a fixed size."""
+    """A rank of commonness for each bucket of word hashes, counted over all documents but for words a task sees once; of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for _, texts in _texts(batches, 0):
             h, _ = word_hashes(texts)
             total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
+        some = np.flatnonzero(total > 1)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return np.round(4 * np.log2(out + 1)).astype(np.int16)
 
 
+def _scored(words: np.ndarray, level: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of one text's shingles and how common their words are."""
+    total = np.concatenate([[0], np.cumsum(level)])
+    m = min(k, len(words))
+    h, at = np.unique(shingles(words, k), return_index=True)
+    return h, (total[m:] - total[:-m])[at]
+
+
+def common_shingles(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of rare words that several texts of a sample hold, in order, and of how many. They only order the shingles:
+    what a sample misses makes regions larger, never a result different."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches, 0):
+            words, first = word_hashes(texts)
+            level = levels[(words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
+            out = [np.zeros(0, np.uint64)]
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if a < b:
+                    h, score = _scored(words[a:b], level[a:b], k)
+                    out.append(h[np.lexsort((h, score))[: 2 * (len(h) - -(-percent * len(h) // 100) + 1)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["key"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.lit(3), "text_hash"), F.lit(every)) == 0).dropDuplicates(["text_hash"]).select("text")
+    found = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], found["n"].to_numpy()[order]
+
+
 def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (set size), node (a hash of the set), cells (counts by cell), keys (first shingles)."""
     levels = word_levels(docs)
+    common, often = common_shingles(docs, k, percent, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 2):
@@ -137,24 +173,24 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             level = levels[(words & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
             sizes, nodes, cells, keys = [], [], [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                h = shingles(words[a:b], k)
-                if not len(h):
+                if a == b:
                     sizes.append(0)
                     nodes.append(None)
                     cells.append(None)
                     keys.append(None)
                     continue
-                total = np.concatenate([[0], np.cumsum(level[a:b])])
-                m = min(k, b - a)
-                score = total[m:] - total[:-m]
-                h, at = np.unique(h, return_index=True)
+                h, score = _scored(words[a:b], level[a:b], k)
                 n = len(h)
+                known = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    known = np.where(common[at] == h, often[at], 0)
                 sizes.append(n)
                 nodes.append(_node(h))
                 count = next(c for bound, c in CELLS if n < bound)
                 cells.append(np.minimum(255, np.bincount((h >> np.uint64(65 - count.bit_length())).astype(np.int64), minlength=count)).astype(np.uint8).tobytes())
                 most = n - -(-percent * n // 100) + 1
-                keys.append(h[np.lexsort((h, score[at]))[:most]].view(np.int64))
+                keys.append(h[np.lexsort((h, score, known))[:most]].view(np.int64))
             columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(cells, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "node", "cells", "keys"])
 
@@ -195,26 +231,40 @@ def _near(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent:
     return out
 
 
-def _windowed(cell: np.ndarray, n: np.ndarray, counts: list[bytes], percent: int) -> np.ndarray:
-    """Of rows sorted by cell: True where another row of the cell is near enough by its size and counts."""
+def _windowed(cell: np.ndarray, n: np.ndarray, counts: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Of rows sorted by cell: pairs of a cell that are near enough by their sizes and counts; these pairs connect what all such pairs do."""
     least = CELLS[0][1]
     low = np.empty((len(counts), least), np.int16)
     sizes = np.array([len(c) for c in counts])
     for count in np.unique(sizes):
         at = np.flatnonzero(sizes == count)
         low[at] = _coarse([counts[i] for i in at], least)
-    alive = np.zeros(len(cell), bool)
+    out: list[tuple[int, int]] = []
+    root = np.arange(len(cell))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = int(root[root[i]])
+        return i
 
     def sift(i: np.ndarray, j: np.ndarray) -> None:
-        good = ~(alive[i] & alive[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        good = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[good], j[good]
         for at in range(0, len(i), 100_000):
             x, y = i[at : at + 100_000], j[at : at + 100_000]
+            good = root[x] != root[y]
+            x, y = x[good], y[good]
             good = np.abs(low[x] - low[y]).sum(-1, dtype=np.int64) <= _most_apart(n[x], n[y], percent)
             x, y = x[good], y[good]
             if len(x):
                 good = _near([counts[a] for a in x], [counts[b] for b in y], n[x], n[y], percent)
-                alive[x[good]] = alive[y[good]] = True
+                for a, b in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                    s, t = find(a), find(b)
+                    if s != t:
+                        root[max(s, t)] = min(s, t)
+                        out.append((a, b))
+                for a in np.unique(np.concatenate([x[good], y[good]])).tolist():
+                    root[a] = find(a)
 
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, len(cell)))
@@ -230,7 +280,7 @@ def _windowed(cell: np.ndarray, n: np.ndarray, counts: list[bytes], percent: int
             rows, columns = np.arange(i, min(g, i + 64)), np.arange(i + 1, g)
             x, y = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
             sift(a + x[x < y], a + y[x < y])
-    return alive
+    return out
 
 
 def linked(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, small: int = SMALL, pivots: int = PIVOTS) -> list[tuple[int, int]]:
@@ -450,17 +500,17 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
     """Edges (a, b) of nodes whose components are those of all links. own: node, n, cells, keys; reps: node, doc_id, text_hash of one document each;
     repeated: whether rows of docs may share a doc_id and text."""
     keyed = own.select(F.explode("keys").alias("key"), "node")
-    pivots = keyed.groupBy("key").agg(F.min("node").alias("cell"), F.count("*").alias("found")).where("found > 1").select("key", "cell")
-    met = staged(keyed.join(pivots, "key").select("cell", "node").distinct(), "regions")
+    sharing = Window.partitionBy("key")
+    met = keyed.withColumn("cell", F.min("node").over(sharing)).withColumn("found", F.count("*").over(sharing)).where("found > 1")
+    met = staged(met.select("cell", "node").distinct(), "regions")
     sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
     big = staged(sizes.where(F.col("size") > group).select("cell"), "big-regions")
     few = met.join(big, "cell", "left_anti").join(own.select("node", "n", "cells"), "node").select("cell", "node", "n", "cells")
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sifted(t: pa.Table) -> pa.RecordBatch:
-            cell, n = t.column(0).to_numpy(), t.column(2).to_numpy()
-            at = pa.array(np.flatnonzero(_windowed(cell, n, t.column(3).to_pylist(), percent)))
-            return t.select([0, 1, 2]).take(at).combine_chunks()
+        def near(t: pa.Table) -> pa.RecordBatch:
+            cell, node, n = (t.column(c).to_numpy() for c in range(3))
+            return _edges([(int(node[i]), int(node[j])) for i, j in _windowed(cell, n, t.column(3).to_pylist(), percent)])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -469,14 +519,16 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
                 t = pa.Table.from_batches(held)
                 cut = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
                 if cut:  # whole regions only
-                    yield from sifted(t.slice(0, cut)).to_batches()
+                    yield near(t.slice(0, cut))
                     held = t.slice(cut).to_batches()
         if held:
-            yield from sifted(pa.Table.from_batches(held)).to_batches()
+            yield near(pa.Table.from_batches(held))
 
-    stay = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(windowed, "cell long, node long, n long")
-    stay = stay.unionByName(met.join(big, "cell").join(own.select("node", "n"), "node").select("cell", "node", "n"))
-    stay = staged(stay, "survivors", done=(met, big))
+    near = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(windowed, "a long, b long")
+    near = near.unionByName(met.join(big, "cell").select(F.col("cell").alias("a"), F.col("node").alias("b")))
+    near = staged(near, "near", done=(met, big))
+    clusters = components(near).select(F.col("component").alias("cell"), "node")
+    stay = staged(clusters.join(own.select("node", "n"), "node").select("cell", "node", "n"), "survivors", done=(near,))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in _texts(batches, 1):

@@ -152,6 +152,33 @@ def test_jaccard_join(spark, k, percent, group, limit):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(x), want[i]) for i, x in enumerate(sets)}
 
 
+@pytest.mark.parametrize("stage", [True])
+def test_jaccard_moves_few_sets(spark, monkeypatch, stage):
+    """A phrase of rare words in many unrelated documents makes no region of them, and a near copy's set is moved once."""
+    rng = random.Random(12)
+    phrase = " ".join(f"rare{i}" for i in range(9))
+    texts = [f"{phrase} " + " ".join(f"w{rng.randrange(400)}" for _ in range(45)) for _ in range(150)]
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(12):
+        texts.append(" ".join([*base[: 10 * i], f"new{i}", *base[10 * i + 1 :]]))
+    held = {}
+    plain = jaccard_join.staged
+
+    def staged(df, label, done=()):
+        out = plain(df, label, done)
+        held[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    docs = documents(spark, texts)
+    if stage:
+        assert {r["doc_id"] for r in jaccard_join.keep_one(spark, docs).collect()} == set(linked_components(shingle_sets(texts, 5), 80))
+    else:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs, 4, 85, 50).collect()}
+        assert [got[i] for i in range(len(texts))] == linked_components(shingle_sets(texts, 4), 85)
+    assert held["regions"] < 100 and held["survivors"] == held["sets"] == 12
+
+
 def test_jaccard_division():
     """Recursive division into Voronoi cells joins what all pairs join, with fewer links than sets."""
     rng = random.Random(9)
