@@ -152,7 +152,7 @@ def test_jaccard_join(spark, k, percent, group, limit):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {i: (len(x), want[i]) for i, x in enumerate(sets)}
 
 
-@pytest.mark.parametrize("stage", [True])
+@pytest.mark.parametrize("stage", [False, True])
 def test_jaccard_moves_few_sets(spark, monkeypatch, stage):
     """A phrase of rare words in many unrelated documents makes no region of them, and a near copy's set is moved once."""
     rng = random.Random(12)
