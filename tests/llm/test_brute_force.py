@@ -5,6 +5,8 @@ import datetime
 import hashlib
 import random
 import re
+import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -240,6 +242,59 @@ def test_bpe_and_packing(spark):
     assert len(by_bin) <= sum(r["length"] for r in rows) / 1024 + 2
 
 
+def invented(seed, n):
+    rng = random.Random(seed)
+    parts = "an ti on er the re in ed sh ou en is of wh ly at nt ha le and é".split()
+    return sorted({"".join(rng.choice(parts) for _ in range(rng.randint(2, 6))) for _ in range(n)})
+
+
+def test_bpe_cost():
+    """New words, the most of the work, cost at most 1.5 times what the tokenizers library takes for them on the same machine."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, model, words = Tokenizer.from_file(path), bpe.WordBpe(path), invented(7, 40_000)
+
+    def seconds(f):
+        at = time.process_time()
+        ids = f()
+        return time.process_time() - at, ids
+
+    theirs = [seconds(lambda: library.encode(" ".join(words), add_special_tokens=False).ids) for _ in range(5)]
+    ours = [seconds(lambda: model.encode_words(words)) for _ in range(5)]
+    assert [i for ids in ours[0][1] for i in ids] == theirs[0][1]
+    assert min(t for t, _ in ours) < 1.5 * min(t for t, _ in theirs)
+
+
+def test_bpe_full_table():
+    """A table that overflows keeps the words of the block at hand: only new ones are encoded, and ids stay right."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, model, words = Tokenizer.from_file(path), bpe.WordBpe(path, kept_words=100), invented(8, 400)[:180]
+    encode, learned = model.encode_words, []
+    model.encode_words = lambda new: learned.append(sorted(new)) or encode(new)
+    for low, high in ((0, 60), (0, 120), (30, 180), (0, 180)):
+        text = " ".join(words[low:high])
+        assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert learned == [words[:60], words[60:120], words[120:], words[:30]]
+
+
+def test_bpe_index():
+    """Words that overlap themselves, hold every byte or fill several indexes, against the library."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    library, model, rng = Tokenizer.from_file(path), bpe.WordBpe(path), random.Random(2)
+    words = ["a" * 5000, "ab" * 700 + "a", "!" * 3001, "\0", "é" * 999, "".join(map(chr, range(0x4E00, 0x5200)))]
+    words += ["".join(rng.choice("abcehinst") for _ in range(rng.randint(1, 40))) for _ in range(2 * bpe.INDEXED_WORDS)]
+    for word, ids in zip(words, model.encode_words(words), strict=True):
+        assert ids == library.encode(word, add_special_tokens=False).ids
+    every = "".join(c for c in map(chr, [*range(0x800), *range(0xFFF0, 0x10040)]) if unicodedata.category(c) != "Cn")  # unassigned ones depend on versions
+    assert model.encode(every) == library.encode(every, add_special_tokens=False).ids
+    assert model.encode_words([]) == [] and model.encode("a") == library.encode("a", add_special_tokens=False).ids  # no pair at all
+
+
 def test_packing_under_every_constraint():
     histogram = {900: 3, 300: 10, 50: 200}
     segments = packing.plan(histogram, 1024, documents=6, attention=900_000)
