@@ -11,7 +11,8 @@ found it; linked nodes always meet in one, and overlapping neighbourhoods elect
 
 Windows: within a region, two nodes stay together only if they are near enough by two lower bounds of the distance: that of
 the sizes (the difference of the distances to the empty set) and that of the counts of shingles over cells of the shingle space.
-What such pairs of all regions connect is a cluster; a node is in one only, so its whole set moves once, however many regions it is in.
+A region of more than GROUP nodes is cut into bands of sizes first, of which a node visits two, and a band of more into blocks, each pair of which is
+looked at by itself; no region is a cluster as a whole. What such pairs of all regions connect is a cluster; a node is in one only, so its whole set moves once, however many regions it is in.
 
 Recursion: a cluster's nodes then meet with their whole sets. Voronoi cells form around PIVOTS pivot documents, chosen
 each as far as can be from those before; a node at distance d from its own pivot also visits the cells of all pivots
@@ -47,7 +48,7 @@ COMMON = 1 << 16
 #: Cells of a set's counts, by its size: few for small sets, more above each bound.
 CELLS = ((512, 64), (4096, 256), (1 << 62, 1024))
 BLOCK = 1 << 20
-#: Regions of more nodes than this skip the windows of sizes and counts: all their nodes are one cluster.
+#: Regions of more nodes than this are cut by sizes, and what is still larger by blocks of about so many nodes, before the windows.
 GROUP = 4096
 #: Shingles of a region that one task holds, about.
 LIMIT = 1 << 21
@@ -496,6 +497,17 @@ def _large_regions(large: DataFrame, held: DataFrame, percent: int, limit: int)
     return near, staged(rows.mapInArrow(visited, "a long, b long"), "visits", done=(kept,))
 
 
+def _cut(wide: DataFrame, percent: int, group: int) -> DataFrame:
+    """Regions (cell, node, n) as smaller ones (cell, node): two nodes of a cell whose sizes allow a link still meet, in parts of about 2 * group nodes at most."""
+    width = -np.log(min(percent, 99) / 100) * 1.0001
+    band = F.floor(F.log("n") / width).cast("int")
+    rows = wide.select("cell", "node", F.explode(F.array(band, band + 1)).alias("band"))
+    blocks = rows.groupBy("cell", "band").agg(F.count("*").alias("size")).where("size > 1").select("cell", "band", F.ceil(F.col("size") / group).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int")
+    rows = rows.join(blocks, ["cell", "band"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("cell", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
+
+
 def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent: int, group: int = GROUP, limit: int = LIMIT, repeated: bool = True) -> DataFrame:
     """Edges (a, b) of nodes whose components are those of all links. own: node, n, cells, keys; reps: node, doc_id, text_hash of one document each;
     repeated: whether rows of docs may share a doc_id and text."""
@@ -505,7 +517,10 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
     met = staged(met.select("cell", "node").distinct(), "regions")
     sizes = met.groupBy("cell").agg(F.count("*").alias("size"))
     big = staged(sizes.where(F.col("size") > group).select("cell"), "big-regions")
-    few = met.join(big, "cell", "left_anti").join(own.select("node", "n", "cells"), "node").select("cell", "node", "n", "cells")
+    few = met.join(big, "cell", "left_anti")
+    if big.head(1):
+        few = few.unionByName(_cut(met.join(big, "cell").join(own.select("node", "n"), "node"), percent, group))
+    few = few.join(own.select("node", "n", "cells"), "node").select("cell", "node", "n", "cells")
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(t: pa.Table) -> pa.RecordBatch:
@@ -525,7 +540,6 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
             yield near(pa.Table.from_batches(held))
 
     near = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(windowed, "a long, b long")
-    near = near.unionByName(met.join(big, "cell").select(F.col("cell").alias("a"), F.col("node").alias("b")))
     near = staged(near, "near", done=(met, big))
     clusters = components(near).select(F.col("component").alias("cell"), "node")
     stay = staged(clusters.join(own.select("node", "n"), "node").select("cell", "node", "n"), "survivors", done=(near,))
@@ -534,15 +548,16 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
         for part, raw in _texts(batches, 1):
             hashed, first = word_hashes(raw)
             held = [np.unique(shingles(hashed[a:b], words)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "cell", "set"])
 
-    need = reps.join(stay.select("node").distinct(), "node").select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
+    # a node is in one cluster only, whose name goes with its set, so that no join moves sets again
+    need = reps.join(stay.select("node", "cell"), "node").select("node", "cell", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash"))
     need = staged(need, "needed")
     # of the texts, few are needed, and one of equal ones is enough: the others are left where they are
     wanted = sieve(need.select(F.xxhash64("rep_id", "rep_hash").alias("row")), "row")
     docs = sifted(docs.withColumn("row", F.xxhash64("doc_id", "text_hash")), "row", wanted, "needed").where("needed").select("doc_id", "text_hash", "text")
-    texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text")
-    held = texts.mapInArrow(sets, "node long, set binary")
+    texts = need.join(docs, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("node", "text", "cell")
+    held = texts.mapInArrow(sets, "node long, cell long, set binary")
     held = staged(held.dropDuplicates(["node"]) if repeated else held, "sets")
     loads = stay.groupBy("cell").agg(F.sum("n").alias("load"), F.count("*").alias("size")).where("size > 1")
     large = staged(loads.where(F.col("load") > limit).select("cell", "load"), "large-regions")
@@ -553,10 +568,15 @@ def links(docs: DataFrame, own: DataFrame, reps: DataFrame, words: int, percent:
                 node = t.column(1).to_numpy()
                 yield _edges([(int(node[i]), int(node[j])) for i, j in linked(_sets(t.column(2)), percent)])
 
-    rows = stay.join(large, "cell", "left_anti").join(held, "node").select("cell", "node", "set").repartition("cell").sortWithinPartitions("cell", "node")
+    rows = held.select("cell", "node", "set")
+    divided = bool(large.head(1))
+    if divided:
+        cells = F.broadcast(large.select("cell"))  # as few as LIMIT goes into all shingles
+        rows, held_large = rows.join(cells, "cell", "left_anti"), rows.join(cells, "cell", "left_semi").select("node", "set")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "node")
     out = staged(rows.mapInArrow(joined, "a long, b long"), "edges")
-    if large.head(1):
-        for more in _large_regions(stay.join(large, "cell"), held, percent, limit):
+    if divided:
+        for more in _large_regions(stay.join(large, "cell"), held_large, percent, limit):
             out = out.unionByName(more)
     return staged(out, "links", done=(stay, held, large))
 

@@ -146,7 +146,7 @@ def near_copies(seed, n):
 
 @pytest.mark.parametrize(("k", "percent", "group", "limit"), [(4, 85, 4096, 1 << 21), (5, 80, 3, 400)])
 def test_jaccard_join(spark, k, percent, group, limit):
-    """The second case sends most regions past the windows and cuts them into slices that visit each other."""
+    """The second case cuts most regions into bands and blocks, and clusters into slices that visit each other."""
     texts = [*near_copies(4, 200), *TRICKY, "One", "one"]
     sets = shingle_sets(texts, k)
     rows = jaccard_join.classes(documents(spark, texts, True), k, percent, group, limit).collect()
@@ -181,6 +181,30 @@ def test_jaccard_moves_few_sets(spark, monkeypatch, stage):
     assert held["regions"] < 100 and held["survivors"] == held["sets"] == 12
 
 
+def test_jaccard_big_regions(spark, monkeypatch):
+    """Of a region of more than `group` nodes only those near another by the windows are compared: a phrase that no sample shows ties 80 unrelated documents."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(80):
+        w = [f"w{rng.randrange(30)}" for _ in range(rng.choice([60, 90, 150, 400]))]
+        at = rng.randrange(len(w))
+        texts.append(" ".join([*w[:at], "ra", "re", "ly", "so", *w[at:]]))
+    texts += [f"{t} more" for t in texts[:3]]
+    held = {}
+    plain = jaccard_join.staged
+
+    def staged(df, label, done=()):
+        out = plain(df, label, done)
+        held.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    monkeypatch.setattr(jaccard_join, "common_shingles", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(documents(spark, texts), 4, 85, 10).collect()}
+    assert [got[i] for i in range(len(texts))] == linked_components(shingle_sets(texts, 4), 85)
+    assert held["big-regions"] and held["survivors"] == held["sets"] == 6
+
+
 def test_jaccard_division():
     """Recursive division into Voronoi cells joins what all pairs join, with fewer links than sets."""
     rng = random.Random(9)
