@@ -37,6 +37,41 @@ def processed(ids: DataFrame, site: str = "site", start: Column | None = None, h
     return df.withColumn("processed", F.col("id") <= last).withColumn("reason", reason).drop("_before", "_upto", "_beyond", "_full", "_v", "_s")
 
 
+def _around(ids: DataFrame, asked: DataFrame, width: int = 1024) -> DataFrame:
+    """Of each `at` of asked: `found`, the least id from there on, and `before`, the greatest one below. Only the bounds of strips of `width` ids pass through one task."""
+    rows = ids.select(F.col("id").alias("at"), "id").unionByName(asked.select("at", F.lit(None).cast("long").alias("id"))).withColumn("strip", F.floor(F.col("at") / width))
+    strips = rows.groupBy("strip").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    order, own = Window.orderBy("strip"), Window.partitionBy("strip").orderBy("at")
+    strips = strips.select("strip", F.min("least").over(order.rangeBetween(1, Window.unboundedFollowing)).alias("later"), F.max("most").over(order.rangeBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    rows = rows.withColumn("found", F.min("id").over(own.rangeBetween(Window.currentRow, Window.unboundedFollowing))).withColumn("before", F.max("id").over(own.rangeBetween(Window.unboundedPreceding, -1)))
+    return rows.where("id IS NULL").join(strips, "strip").select("at", F.coalesce("found", "later").alias("found"), F.coalesce("before", "earlier").alias("before"))
+
+
+def stops(sites: DataFrame, ids: DataFrame, hits: DataFrame, floor: int = 20, tail: int = 60, streak: int = 20) -> DataFrame:
+    """(site, last_id, reason) of a scan of all ids from 1 to the greatest at each site, as `processed` has it, without a row for each site and id:
+    where the scan would stop after a hit follows from that hit alone, and counts if no hit comes before. Id 0 stands for the start."""
+    tail, streak = max(1, tail), max(8, streak)
+    ids = ids.select(F.col("id").cast("long").alias("id")).where("id >= 1").distinct()
+    hard = ids.agg(F.max("id").alias("hard"))
+    steps = ids.unionByName(hard.select(F.lit(0).cast("long").alias("id"))).crossJoin(F.broadcast(hard))  # one row
+    beyond = F.greatest(F.least("hard", F.lit(max(floor, tail))), F.least("hard", F.col("id") + tail)) + 1
+    beyond = F.when(F.col("id") > 0, beyond)  # before any hit `processed` has no reach but the greatest id
+    steps = steps.withColumn("full", F.greatest(F.col("id") + streak, F.lit(floor))).withColumn("beyond", beyond)
+    near = _around(ids, steps.select(F.explode(F.array("full", "beyond")).alias("at")).where("at IS NOT NULL").distinct())
+    steps = steps.join(near.select(F.col("at").alias("full"), F.col("found").alias("s")), "full", "left")
+    steps = steps.join(near.select(F.col("at").alias("beyond"), F.col("found").alias("v"), "before"), "beyond", "left").select("id", "hard", "s", "v", "before")
+    sites = sites.select("site").distinct()
+    rows = hits.select("site", F.col("id").cast("long").alias("id")).join(sites, "site", "left_semi").unionByName(sites.select("site", F.lit(0).cast("long").alias("id"))).distinct()
+    rows = rows.join(steps, "id").withColumn("next", F.lead("id").over(Window.partitionBy("site").orderBy("id")))
+    s = F.when(F.col("next").isNull() | (F.col("s") < F.col("next")), F.col("s"))
+    v = F.when(F.col("v").isNotNull() & (F.col("next").isNull() | (F.col("v") <= F.col("next"))), F.struct("v", "before"))
+    rows = rows.groupBy("site").agg(F.max("hard").alias("hard"), F.min(s).alias("s"), F.min(v).alias("v"))
+    last = F.least("hard", F.coalesce(F.col("v.v") - 1, "hard"), F.coalesce("s", "hard"))
+    reason = F.when(F.col("s") == last, "streak").when(F.col("v.v") - 1 == last, "reach").otherwise("hard-cap")
+    out = rows.select("site", F.when(reason == "reach", F.col("v.before")).otherwise(last).alias("last_id"), reason.alias("reason"))
+    return out.where("last_id IS NOT NULL")
+
+
 def high_water(hits: DataFrame, site: str, learned: Column, tail: int) -> DataFrame:
     high = F.greatest(F.max("id"), F.max(learned))
     return hits.groupBy(site).agg(high.alias("high")).withColumn("resume", F.greatest(F.lit(0), F.col("high") - tail))

@@ -237,12 +237,9 @@ def highwater(spark, d):
 @query()
 def scan_stop_whole(spark, d):
     """scan_stop over every hit, each supplier up to the greatest part key."""
-    hits = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("id")).distinct().withColumn("is_hit", F.lit(True))
+    hits = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("id"))
     parts = _t(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    every = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("site")).crossJoin(parts).crossJoin(parts.agg(F.max("id").alias("most")))
-    rows = every.join(hits, ["site", "id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
-    df = scan.processed(rows, start=F.lit(1), hard=F.col("most"), floor=20, tail=60, streak=40)
-    return df.where("processed").groupBy("site").agg(F.max("id").alias("last_id"), F.max("reason").alias("reason"))
+    return scan.stops(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("site")), parts, hits, floor=20, tail=60, streak=40)
 
 
 @query()

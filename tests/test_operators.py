@@ -110,6 +110,20 @@ def test_whole_scans(spark):
     assert stops == {s: max(i for i in loop_scan(of.get(s, set()) & known, 1, max(parts), 20, 60, 40, 0) if i in known) for (s,) in read("supplier", "s_suppkey")}
 
 
+def test_stops(spark):
+    """Sparse ids: the same stops as from a row for each site and id."""
+    rng = random.Random(5)
+    ids = sorted({1, *(rng.randrange(3000) for _ in range(700)), *range(1100, 1400)})
+    frame = lambda rows: spark.createDataFrame(rows, "site long, id long")
+    hits = [(n, i) for n in range(1, 12) for i in range(3000) if rng.random() < n / 150]
+    sites, parts = spark.range(13).select(F.col("id").alias("site")), spark.createDataFrame([(i,) for i in ids], "id long")
+    every = sites.crossJoin(parts).join(frame(hits).withColumn("is_hit", F.lit(True)), ["site", "id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
+    for streak, reason in ((40, "streak"), (90, "reach")):
+        want = scan.processed(every, start=F.lit(1), hard=F.lit(max(ids)), floor=20, tail=60, streak=streak).where("processed").groupBy("site").agg(F.max("id").alias("last_id"), F.max("reason").alias("reason"))
+        got = sorted(map(tuple, scan.stops(sites, parts, frame(hits), 20, 60, streak).collect()))
+        assert got == sorted(map(tuple, want.collect())) and reason in {r for *_, r in got}
+
+
 def test_snapshot(spark):
     now = spark.createDataFrame([("a", 1), ("b", 0), ("c", -1), ("d", 1)], "k string, in_stock int")
     old = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "k string, in_stock int")
