@@ -208,11 +208,20 @@ def _below(node: Node, root: Node) -> bool:
     return up is root
 
 
+#: Pages whose signals are held at once.
+SLICE = 64
+
+
+def read_pages(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for page in pages:
+        for at in range(0, len(page), SLICE):
+            yield pd.DataFrame([read_page(h) for h in page.iloc[at : at + SLICE]])
+
+
 def signals(html: Column) -> Column:
     @F.pandas_udf(SIGNALS)
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for page in pages:
-            yield pd.DataFrame([read_page(h) for h in page])
+        yield from read_pages(pages)
 
     return run(html)
 

@@ -124,6 +124,13 @@ def test_stops(spark):
         assert got == sorted(map(tuple, want.collect())) and reason in {r for *_, r in got}
 
 
+def test_pages_in_slices():
+    """A large batch of pages is read in slices, whole and in order."""
+    pages = [f"<h1>n{i}</h1>" for i in range(200)]
+    out = list(html_pages.read_pages(iter([html_pages.pd.Series(pages), html_pages.pd.Series(pages[:1])])))
+    assert max(map(len, out)) <= html_pages.SLICE and [n for t in out for n in t["name_a"]] == [f"n{i}" for i in (*range(200), 0)]
+
+
 def test_snapshot(spark):
     now = spark.createDataFrame([("a", 1), ("b", 0), ("c", -1), ("d", 1)], "k string, in_stock int")
     old = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "k string, in_stock int")
